@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, pii, token_counts
+from . import bpe, exact_dedup, pii, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,21 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of(_table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_pii": op5_pii,
+    "op9_quality": op9_quality,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -51,4 +61,5 @@ ORACLE_SQL: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM d
     """,
+    "op10_warc_derivatives": warc.oracle(),
 }
