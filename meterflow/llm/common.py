@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Lower-cases A-Z only, as the contracts ask; other letters stay.
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: Characters above which a text's words are met one by one.
+LAZY_CHARS = 1 << 22
 #: Rows up to which a table of fixed-width rows may be broadcast (about 16 MB as a hash relation).
 BROADCAST_ROWS = 200_000
 
@@ -22,6 +25,14 @@ def lower_ascii(text: str) -> str:
     return text.translate(ASCII_LOWER) if not text.isascii() else text.lower()
 
 
+def word_counts(text: str) -> Counter:
+    """How often each word occurs in the lower-cased text; a very long text is never one list of words."""
+    text = lower_ascii(text)
+    if len(text) > LAZY_CHARS:
+        return Counter(m.group() for m in WORD.finditer(text))
+    return Counter(WORD.findall(text))
+
+
 def text_of(name: str = "text") -> Column:
     """The column as a string, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
