@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, decontaminate, exact_dedup, pii, quality, simhash, token_counts, warc
+from . import bpe, ctw, decontaminate, exact_dedup, licenses, pii, quality, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(_table(spark, sf_dir, "documents"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.paths_of(_table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_ctw_scores": op6_ctw_scores,
     "op7_simhash": op7_simhash,
+    "op8_licences": op8_licences,
     "op9_quality": op9_quality,
     "op10_warc_derivatives": op10_warc_derivatives,
 }
