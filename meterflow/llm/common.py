@@ -82,3 +82,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """The partitions an explicit exchange is dealt to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def whole_groups(frames, keys: int):
+    """(record batch, starts, ends) of whole groups, from batches sorted by their first `keys` columns of numbers.
+
+    Only the group that is still open is held between batches.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in frames:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches(max_chunksize=1 << 30)[0]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        turns = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            turns |= c[1:] != c[:-1]
+        starts = np.r_[0, np.flatnonzero(turns) + 1]
+        if len(starts) > 1:
+            yield batch.slice(0, starts[-1]), starts[:-1], starts[1:]
+        held = batch.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held, np.array([0]), np.array([held.num_rows])

@@ -20,7 +20,7 @@ Texts of fewer words than a shingle are one shingle. Null ids never name a compo
 in it are null. Repeated rows each get their row. Empty tables give empty tables. Other columns are
 not read.
 
-`near_groups` takes shingles of five words and asks for a similarity of 0.8 or more; see there.
+near_copies.py links texts by a similarity of 0.8 or more over shingles of five words.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, LAZY_CHARS, WORD, slots, text_of, written
+from .common import ASCII_LOWER, LAZY_CHARS, WORD, slots, text_of, whole_groups, written
 from .components import components, roots_of
 
 SEED = 42
@@ -139,7 +139,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) within radius bits, enough to connect what all such pairs connect."""
     masks = position_masks(radius)
     postings = F.inline(F.array(*(F.struct(F.lit(i).alias("positions"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks))))
-    rows = prints.select("fp", postings).repartition(slots(prints.sparkSession), "positions", "value").sortWithinPartitions("positions", "value")
+    rows = prints.select("fp", postings).select("positions", "value", "fp").repartition(slots(prints.sparkSession), "positions", "value").sortWithinPartitions("positions", "value")
 
     def run(frames):
         import pyarrow as pa
@@ -162,21 +162,8 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
             both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1) if len(a) else np.empty((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-        held = None
-        for batch in frames:
-            columns = [batch.column("positions").to_numpy(), batch.column("value").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            positions, values, _ = columns
-            if not len(positions):
-                continue
-            last = np.flatnonzero((positions != positions[-1]) | (values != values[-1]))  # the last posting may go on in the next batch
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield out(*(x[:cut] for x in columns))
-            held = [x[cut:] for x in columns]
-        if held is not None and len(held[0]):
-            yield out(*held)
+        for batch, _, _ in whole_groups(frames, 2):
+            yield out(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
