@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import billing, usage
+from . import billing, documents, identity, sources, usage
 
-MODULES = (usage, billing)
+MODULES = (usage, billing, identity, documents, sources)
 
 
 def queries() -> dict:
