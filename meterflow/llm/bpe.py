@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slots, text_of
+from .common import lean, slots, text_of
 
 #: Characters of a chunk and of what it reads beyond its end.
 CHUNK, OVERLAP = 1 << 15, 256
@@ -147,6 +147,7 @@ def encode_decode(
     """(id, keep..., n_tokens, ids_sha256, decoded_sha256) for each row; with_ids adds ids and the decoded text."""
     import pyarrow as pa
 
+    lean(docs.sparkSession)
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     carried = F.struct(*(F.col(c) for c in kinds)).alias("carried")

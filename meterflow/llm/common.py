@@ -79,6 +79,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df.hint("merge")
 
 
+#: What one record batch handed to Python may hold.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """The session, with record batches bounded by bytes: ten thousand long texts at once would not fit a worker.
+
+    Tighter settings of the caller stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub("[^0-9]", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 def slots(spark: SparkSession) -> int:
     """The partitions an explicit exchange is dealt to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

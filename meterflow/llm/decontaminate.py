@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import lean
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -246,15 +246,18 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 def marked(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """keep... and `hits`: array<struct<item_id,start_word,end_word,similarity>>, for each row of docs."""
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     items = benchmark.select("item_id", F.col("text").alias("item")).where("item IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("item") + 32), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     kind = benchmark.schema["item_id"].dataType.simpleString()
     hits_type = HITS.format(item=kind)
-    types = {c: docs.schema[c].dataType.simpleString() for c in keep}
+    # The text goes to Python once, even where it is one of the columns to keep.
+    places = dict.fromkeys((*keep, text))
+    types = {c: docs.schema[c].dataType.simpleString() for c in places}
     carried = "carried struct<" + ",".join(f"`{c}`:{t}" for c, t in types.items()) + ">"
-    frame = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("carried"), text_of(text).alias("text"), F.array().cast(hits_type).alias("hits"))
+    at = list(places).index(text)
+    frame = docs.select(F.struct(*(F.col(f"`{c}`") for c in places)).alias("carried"), F.array().cast(hits_type).alias("hits"))
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b)
         rows = block.orderBy("item_id", "item").collect()  # at most about block_bytes
@@ -266,14 +269,14 @@ def marked(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: s
             item_ids, texts = shared.value
             index = Index(texts)
             for batch in frames:
-                found = [[{"item_id": item_ids[i], "start_word": a, "end_word": z, "similarity": s} for i, a, z, s in index.matches(t)] for t in batch.column(1).to_pylist()]
-                before = batch.column(2)
+                found = [[{"item_id": item_ids[i], "start_word": a, "end_word": z, "similarity": s} for i, a, z, s in index.matches(t or "")] for t in batch.column(0).field(at).to_pylist()]
+                before = batch.column(1)
                 if any(found):
                     both = [x + y for x, y in zip(before.to_pylist(), found, strict=True)]
                     before = pa.array(both, before.type)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), before], ["carried", "text", "hits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), before], ["carried", "hits"])
 
-        frame = frame.mapInArrow(run, f"{carried}, text string, hits {hits_type}")
+        frame = frame.mapInArrow(run, f"{carried}, hits {hits_type}")
     return frame.select(*(F.col(f"carried.`{c}`").alias(c) for c in keep), "hits")
 
 

@@ -27,7 +27,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAZY_CHARS, small, text_of, written
+from .common import LAZY_CHARS, lean, small, text_of, written
 
 THRESHOLD = 0.8
 WORDS = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -154,6 +154,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path: str = "path", text: str
 
     origin: file (a licence file with a match), header (a match in any other file), inherited, none.
     """
+    lean(files.sparkSession)
     frame = files.select(F.col(id_col).alias("id"), F.col(path).cast("string").alias("path"), text_of(text).alias("text"))
     found = written(own_licences(frame, templates, threshold), "licences")
     name, directory = F.regexp_extract("path", "[^/]*$", 0), F.regexp_replace("path", "/?[^/]*$", "")

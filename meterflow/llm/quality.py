@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import lean, text_of, written
 
 DIMENSIONS = 1 << 18
 SAMPLE = 8192
@@ -120,6 +120,7 @@ def bucket(id_col: str | Column, parts: int) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, sample: int = SAMPLE) -> np.ndarray:
     """Weights from a bounded, fixed sample of the labelled rows outside the held-out fold."""
+    lean(docs.sparkSession)
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (bucket("doc_id", folds) != held_fold))
     marks = marks.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     chosen = marks.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(sample)
@@ -159,20 +160,23 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
 
 def scored(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep... and score for each row of docs."""
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     shared = spark.sparkContext.broadcast(weights)
-    carried = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("carried")
-    shape = "carried struct<" + ",".join(f"`{c}`:{docs.schema[c].dataType.simpleString()}" for c in keep) + ">"
+    # The text goes to Python once, even where it is one of the columns to keep.
+    places = tuple(dict.fromkeys((*keep, text)))
+    at = places.index(text)
+    carried = F.struct(*(F.col(f"`{c}`") for c in places)).alias("carried")
+    shape = "carried struct<" + ",".join(f"`{c}`:{docs.schema[c].dataType.simpleString()}" for c in places) + ">"
 
     def run(frames):
         import pyarrow as pa
 
         features, w = Features(), shared.value.astype(np.float64)
         for batch in frames:
-            margins = np.array([w[-1] + (w[p] @ v) for p, v in map(features.of, batch.column(1).to_pylist())], np.float64)
+            margins = np.array([w[-1] + (w[p] @ v) for p, v in (features.of(t or "") for t in batch.column(0).field(at).to_pylist())], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-margins)))], ["carried", "score"])
 
-    return docs.select(carried, text_of(text).alias("text")).mapInArrow(run, f"{shape}, score double").select("carried.*", "score")
+    return docs.select(carried).mapInArrow(run, f"{shape}, score double").select(*(F.col(f"carried.`{c}`").alias(c) for c in keep), "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, held_fold: int = 0) -> DataFrame:

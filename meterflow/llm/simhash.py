@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, LAZY_CHARS, WORD, slots, text_of, whole_groups, written
+from .common import ASCII_LOWER, LAZY_CHARS, WORD, lean, slots, text_of, whole_groups, written
 from .components import components, roots_of
 
 SEED = 42
@@ -102,6 +102,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
             prints = np.array([fingerprint(shingle_hashes(t, k)) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
 
+    lean(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), text_of(text).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 

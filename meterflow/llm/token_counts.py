@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import lean, text_of
 
 #: Unicode's White_Space, which the library's patterns mean by \s; Python's `regex` adds U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -119,6 +119,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
                 n += counter.counts(values[a:b])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)], ["id", "n_tokens", "n_bytes"])
 
+    lean(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     cut = docs.select(F.col(id_col).alias("id"), text_of(text).alias("text"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"))
     out = cut.mapInArrow(run, f"id {kind}, n_tokens long, n_bytes long")
