@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, word_counts, written
+from .common import lean, text_of, word_counts, written
 
 #: A context of depth 3 is kept if it has at least this share of all positions.
 KEPT_SHARE = 2.0**-16
@@ -59,7 +59,7 @@ def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones seen at the 255 nodes of each row of byte counts, level by level."""
     levels, row = [], counts.astype(np.float64)
     while row.shape[1] > 1:
-        pairs = row.reshape(len(row), -1, 2)
+        pairs = row.reshape(len(row), row.shape[1] // 2, 2)
         levels.append(pairs)
         row = pairs.sum(2)
     both = np.concatenate(levels[::-1], axis=1)
@@ -251,7 +251,7 @@ def train(texts: DataFrame) -> Model:
 
 def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, heavy_words: int = HEAVY_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of docs."""
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     frame = docs.select("doc_id", text_of().alias("text"), (~_training(docs, folds, held_fold)).alias("held_out"))
     training = frame.where("not held_out").select("text")
     words = written(count_words(training), "words")
