@@ -20,9 +20,9 @@ def newest(files: DataFrame) -> DataFrame:
 
 def texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, name, modified, text): whole files. Files of this kind are small; each is one row."""
-    read = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    read = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
     at = F.col("_metadata.file_path")
-    return read.select(at.alias("path"), F.element_at(F.split(at, "/"), -1).alias("name"), F.col("_metadata.file_modification_time").alias("modified"), F.regexp_replace("value", "^﻿", "").alias("text"))
+    return read.select(at.alias("path"), F.element_at(F.split(at, "/"), -1).alias("name"), F.col("_metadata.file_modification_time").alias("modified"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
 
 
 def lines(files: DataFrame) -> DataFrame:

@@ -36,8 +36,8 @@ def _as_json(files: DataFrame) -> DataFrame:
 
 def load_plans(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Plans in file-name order (column ord), checked: a plan that breaks a rule or an id met twice raises."""
-    rows = _as_json(texts(spark, path, pattern)).select("name", F.from_json("text", PLAN).alias("p")).select("name", "p.*")
-    plans = rows.withColumn("ord", F.row_number().over(Window.orderBy("name")) - 1).drop("name")
+    rows = _as_json(texts(spark, path, pattern)).select(F.col("name").alias("_file"), F.from_json("text", PLAN).alias("p")).select("_file", "p.*")
+    plans = rows.withColumn("ord", F.row_number().over(Window.orderBy("_file")) - 1).drop("_file")
     bad = violations(plans).first()
     if bad:
         raise ValueError(f"plan {bad.id}: {bad.violation}")
@@ -46,7 +46,7 @@ def load_plans(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def load_drafts(spark: SparkSession, path: str) -> DataFrame:
     """Drafts as they are: nothing is checked, review fields are kept (confidence, evidence, notes, source hash)."""
-    rows = _as_json(texts(spark, path)).select("name", F.from_json("text", f"{PLAN}, _parse {DRAFT_REVIEW}").alias("p")).select("name", "p.*")
+    rows = _as_json(texts(spark, path)).select(F.from_json("text", f"{PLAN}, _parse {DRAFT_REVIEW}").alias("p")).select("p.*")
     return rows.select("*", F.col("_parse.confidence").alias("confidence"))
 
 
