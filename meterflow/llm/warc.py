@@ -37,14 +37,11 @@ NO_DATE = "1970-01-01T00:00:00Z"
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 #: Patterns in the syntax that Java and RE2 share: (pattern, replacement).
 TO_TEXT = (
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<(?:script|style|noscript|template)\b[^>]*>.*?</(?:script|style|noscript|template)\s*>", " "),
-    (r"(?is)<head\b[^>]*>.*?</head\s*>", " "),
+    (r"(?is)<!--.*?-->|<(?:script|style|noscript|template)\b[^>]*>.*?</(?:script|style|noscript|template)\s*>|<head\b[^>]*>.*?</head\s*>", " "),
     (r"(?i)<(?:br|/?p|/?div|/?li|/?ul|/?ol|/?tr|/?table|/?h[1-6]|/?article|/?section|/?nav|/?header|/?footer|/?blockquote|/?pre)\b[^>]*>", "\n"),
     (r"<[/!?A-Za-z][^>]*>", ""),
+    (r"[ \t\r\f]*\n[ \t\r\f\n]*", "\n"),
     (r"[ \t\r\f]+", " "),
-    (r" ?\n[ \n]*", "\n"),
-    (r"^[ \n]+|[ \n]+$", ""),
 )
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 LANG = r"""(?i)<html\b[^>]*\blang=["']?([A-Za-z-]+)"""
@@ -81,6 +78,7 @@ def plain_text(html: Column) -> Column:
     out = html
     for pattern, replacement in TO_TEXT:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement))
+    out = F.btrim(out, F.lit(" \n"))
     for reference, character in REFERENCES:
         out = F.replace(out, F.lit(reference), F.lit(character))
     return out
@@ -161,6 +159,7 @@ def oracle() -> str:
     plain = "payload"
     for pattern, replacement in TO_TEXT:
         plain = f"regexp_replace({plain}, {quoted(pattern)}, {lit(replacement)}, 'g')"
+    plain = f"trim({plain}, ' ' || chr(10))"
     for reference, character in REFERENCES:
         plain = f"replace({plain}, {quoted(reference)}, {quoted(character)})"
     uuid = lambda x: f"(SELECT '<urn:uuid:' || concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) || '>' FROM (SELECT sha256({x}) AS h))"
