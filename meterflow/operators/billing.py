@@ -89,10 +89,10 @@ PLAN_COLUMNS = (
 )
 
 
-def _plan_side(plans: DataFrame, by_interval: bool) -> DataFrame:
+def _plan_side(plans: DataFrame, by_interval: bool, count: int | None = None) -> DataFrame:
     side = plans.where(F.col("by_interval") == by_interval).select(F.col("id").alias("plan_id"), *PLAN_COLUMNS[1:-1])
     # A plan catalogue is small; one beyond the bound meets the usage partition by partition instead.
-    return F.broadcast(side) if plans.count() <= BROADCAST_PLANS else side
+    return F.broadcast(side) if (plans.count() if count is None else count) <= BROADCAST_PLANS else side
 
 
 def _charged(usage: DataFrame, price: Column | None) -> DataFrame:
@@ -142,10 +142,10 @@ def _parts(charged: DataFrame, freed: Column, covers: Column, energy_charge: Col
     )
 
 
-def interval_parts(intervals: DataFrame, plans: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
+def interval_parts(intervals: DataFrame, plans: DataFrame, tz: str = LOCAL_TZ, count: int | None = None) -> DataFrame:
     """Monthly parts of plans that need intervals; intervals have `price` ($/kWh, null where unknown)."""
     usage = with_local_columns(intervals, tz=tz).withColumn("slot", slot(F.col("month_num"), F.col("weekday"), F.col("hour")))
-    charged = _charged(usage.join(_plan_side(plans, True)), F.col("price"))
+    charged = _charged(usage.join(_plan_side(plans, True, count)), F.col("price"))
     ev = F.col("ev_free_charging")
     inside = ev.isNotNull() & window_matches(ev["window"], F.col("month_num"), F.col("weekday"), F.col("hour"))
     charged = charged.withColumn("window_kwh", F.when(inside, F.col("import_kwh")).otherwise(0.0))
@@ -167,9 +167,9 @@ def cube(intervals: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
     )
 
 
-def cube_parts(slots: DataFrame, plans: DataFrame) -> DataFrame:
+def cube_parts(slots: DataFrame, plans: DataFrame, count: int | None = None) -> DataFrame:
     """Monthly parts of flat-rate plans from usage by slot."""
-    charged = _charged(slots.join(_plan_side(plans, False)), None)
+    charged = _charged(slots.join(_plan_side(plans, False, count)), None)
     return _parts(charged, F.lit(0.0), F.lit(False), F.col("import_kwh") * F.col("energy_rate"))
 
 
@@ -258,7 +258,12 @@ def simulated(intervals: DataFrame, plans: DataFrame, tariff: DataFrame, prices:
     ready = prepared(plans if "ord" in plans.columns else plans.withColumn("ord", F.lit(0)))
     usage = intervals.select("meter_id", "ts", "import_kwh", "export_kwh")
     priced = usage.withColumn("price", F.lit(None).cast("double")) if prices is None else aligned(usage, prices, tz=tz)[0].drop("estimated")
-    parts = cube_parts(cube(usage, tz), ready).unionByName(interval_parts(priced, ready, tz))
+    # How many plans take each way: a way without any is left out of the job.
+    ways = dict(ready.groupBy("by_interval").count().collect())
+    made = [interval_parts(priced, ready, tz, ways[True])] if True in ways else []
+    if False in ways or not made:
+        made.append(cube_parts(cube(usage, tz), ready, ways.get(False, 0)))
+    parts = made[0] if len(made) == 1 else made[0].unionByName(made[1])
     return monthly_bills(parts, month_coverage(usage, tz), ready, tariff)
 
 
@@ -307,3 +312,23 @@ def ranked(intervals: DataFrame, plans: DataFrame, tariff: DataFrame, prices: Da
         years.where("skipped IS NOT NULL").select("plan_id", "meter_id", F.col("skipped").alias("reason"))
     )
     return best, skipped
+
+
+def notes(years: DataFrame, windows: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """(meter_id, note): what a reader of the ranking must know, each said once per meter.
+
+    The billing window's note unless it is a whole, untrimmed year; the estimated prices' share where a
+    plan priced by them is ranked.
+    """
+    span = windows.where("trimmed OR NOT reliable").select("meter_id", "note")
+    if gaps is None:
+        return span.distinct()
+    indexed = years.where("uses_rtw AND skipped IS NULL").select("meter_id").distinct()
+    share = gaps.where("filled > 0").join(indexed, "meter_id", "left_semi")
+    return span.unionByName(share.select("meter_id", F.concat(F.lit("prices estimated for "), F.format_string("%.1f", F.col("fraction") * 100), F.lit(" % of intervals")).alias("note"))).distinct()
+
+
+def with_estimated_share(years: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Adds prices_estimated_fraction: the share of estimated intervals for plans priced by them, else 0."""
+    share = gaps.select("meter_id", F.when(F.col("filled") > 0, F.col("fraction")).otherwise(0.0).alias("_f"))
+    return years.join(share, "meter_id", "left").withColumn("prices_estimated_fraction", F.when(F.col("uses_rtw"), F.coalesce("_f", F.lit(0.0))).otherwise(0.0)).drop("_f")

@@ -34,6 +34,26 @@ def etf_label(usd: Column, per_month: Column) -> Column:
     return F.when(F.coalesce(usd, F.lit(0.0)) == 0, "none").otherwise(F.concat(F.lit("$"), _number(usd), F.when(per_month, " per month left").otherwise("")))
 
 
+def hours_label(hours: Column) -> Column:
+    """Hours of the day as spans, a span over midnight as one: 21:00-06:00; no hours: all day."""
+    sorted_ = F.array_sort(F.array_distinct(hours))
+    starts = F.filter(sorted_, lambda h: ~F.array_contains(hours, ((h + 23) % 24).cast("int")))
+    length = lambda s: F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.lit(24)), lambda n: ~F.array_contains(hours, ((s + n) % 24).cast("int")))), F.lit(24))
+    clock = lambda h: F.format_string("%02d:00", (h % 24).cast("int"))
+    return F.when(F.coalesce(F.size(hours), F.lit(0)).isin(-1, 0, 24), "all day").otherwise(F.array_join(F.transform(starts, lambda s: F.concat(clock(s), F.lit("-"), clock(s + length(s)))), ", "))
+
+
+def draft_summary(drafts: DataFrame) -> DataFrame:
+    """One row per draft: identity, rates, the least confidence of any field, the review mark."""
+    return drafts.select("id", "retailer", "name", "term_months", rate_summary(F.col("energy_rates")).alias("rates"), F.array_min(F.map_values("confidence")).alias("least_confidence"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"))
+
+
+def shown(plans: DataFrame, with_review: bool = False, with_solar_excluding: bool = False) -> DataFrame:
+    """The plans a comparison lists: by default neither those under review nor those not sold to homes with panels."""
+    rows = plans if with_review else plans.where("NOT coalesce(needs_review, false)")
+    return rows if with_solar_excluding else rows.where("NOT coalesce(excludes_solar, false)")
+
+
 def summary(plans: DataFrame) -> DataFrame:
     """One labelled row per plan."""
     return plans.select(

@@ -116,3 +116,58 @@ def test_document_address(spark):
     made = one(spark, viewer, html.document_url)
     assert made == "https://v.example/api/getdocument?docType=EnergyFactsLabel&productid=ABC1&efldate=2026-01-02T00:00:00&tdsp=TNMP&language=en&classification=Residential"
     assert one(spark, "https://v.example/other", html.document_url) == "https://v.example/other"
+
+
+def test_platform_rows_and_data_cards(spark):
+    page = lambda x: spark.createDataFrame([(1, x)], "page_id long, html string")
+    rows = '<div class="row plan-list-padding"><h3>Header only</h3></div><div class="row plan-list-padding"><h3>Sun 12</h3><a href="https://v.example/eflviewer.aspx?a=1&amp;prodcode=P1">e</a>Plan Type: Solar Buyback</div><div class="x Product-tab"><div>Solar Buyback</div></div>'
+    got = html.cards(page(rows), "row_list", "G", "https://g.example").collect()
+    assert [(r.plan_name, r.efl_url, r.is_buyback) for r in got] == [("Sun 12", "https://v.example/eflviewer.aspx?a=1&prodcode=P1", True)]
+    card = '<div class="a show-plan b" data-productid="ABC9" data-planname="Lone Star 12">x</div>'
+    got = html.cards(page(card), "data_card", "A", "https://a.example").collect()
+    assert [(r.plan_name, r.is_buyback) for r in got] == [("Lone Star 12", False)] and "productid=ABC9&efldate=" in got[0].efl_url
+
+
+def test_links_that_label_themselves(spark):
+    page = spark.createDataFrame([(1, '<h2 data-cy="product-title" x="y">Twelve</h2><a href="https://o.example/efl/1">e</a><a href="https://o.example/efl/1">e</a><h2 data-cy="product-title">O Flex</h2><a href="https://o.example/efl/2">e</a>')], "page_id long, html string")
+    got = html.named_links(page, "O", r'(?i)href="(https://o\.example/efl/[^"]+)"', title=r'<h2 data-cy="product-title"', no_buyback="flex").orderBy("efl_url").collect()
+    assert [(r.plan_name, r.is_buyback) for r in got] == [("Twelve", True), ("O Flex", False)]
+    page = spark.createDataFrame([(1, '<a href="https://t.example/TE_DRIVE_12M_PLAN_x.pdf">e</a><a href="https://t.example/other.pdf">e</a>')], "page_id long, html string")
+    got = html.named_links(page, "T", r'(?i)href="(https://t\.example/[^"]+\.pdf)"', name_in_link=r"(?i)/TE_(.+?)_PLAN").collect()
+    assert [(r.plan_name, r.is_buyback) for r in got] == [("Drive 12m", True)]
+
+
+def test_partial_captures_say_why(spark):
+    got = spark.range(1).select(html.partial_reason(html.marked_partial(F.lit("<p>x</p>"), F.lit('a "b" & c'))).alias("why"), html.partial_reason(F.lit("<p>")).alias("none")).first()
+    assert (got.why, got.none) == ('a "b" & c', None)
+
+
+def test_rows_of_odd_tables(spark):
+    head = "Energy Charge  Base Charge  Delivery Charge per month\n"
+    assert one(spark, head + "11.5¢/kWh $4.95 5.5¢ /kWh $4.23", lambda t: F.array(*facts.split_row(t))) == [11.5, 4.95]
+    got = one(spark, "Daytime EV Charging delivery charge per month\n12.0¢/kWh 3.0¢/kWh $9.95 5.5¢/kWh $4.23", facts.rates_row)
+    assert (got.rates, got.base_usd, got.restricted) == ([12.0, 3.0], 9.95, "EV Charging")
+    got = one(spark, "Base Charge Per kWh Charge\nOncor Delivery $4.23 5.5¢\nOur Plan $9.95 12.5¢", facts.base_then_kwh)
+    assert (got.base, got.ckwh) == (9.95, 12.5)
+    assert one(spark, "Oncor 14.2¢ 14.2¢ 14.2¢", facts.flat_average) == 14.2 and one(spark, "Oncor 14.2¢ 14.1¢ 14.2¢", facts.flat_average) is None
+    assert [tuple(r) for r in one(spark, "Sunny Energy Charge: $0.11 per kWh", facts.brand_rows)] == [("Sunny", 11.0)]
+    rows = one(spark, "Base Charge: $5 per billing cycle\nOncor Delivery Charge 5.5¢ per kWh\nDaily Charge: $0.10 per day", facts.charge_rows)
+    assert [(r.kind, r.value, r.is_delivery) for r in rows] == [("month", 5.0, False), ("kwh", 5.5, True), ("day", 0.1, False)]
+    assert one(spark, "x", lambda t: facts.letters_match(F.lit("Bse"), facts.BASE_LETTERS)) is True
+    assert one(spark, "x", lambda t: facts.letters_match(F.lit("Delivery"), facts.BASE_LETTERS)) is False
+    assert one(spark, "• Energy charge 9 ¢\n• Oncor delivery charges\n• one-time set up fee", facts.base_absent_from_bullets) is True
+    assert one(spark, "You get a credit for Energy Charges resulting from energy consumed during the Free Hours. Free Hours are 9 pm to 6 am.", facts.credited_hours) == [21, 22, 23, 0, 1, 2, 3, 4, 5]
+
+
+def test_known_identity_replaces_failed_readings(spark):
+    drafts = spark.createDataFrame([(1, "Unknown Retailer", "Unnamed Plan"), (2, "R", "N 12")], "doc_id long, retailer string, name string")
+    known = spark.createDataFrame([(1, "Alder", "Flat 12", "u1"), (2, "Other", "Else", "u2")], "doc_id long, retailer string, name string, enroll_url string")
+    assert sorted(tuple(r) for r in facts.with_identity(drafts, known).collect()) == [(1, "Alder", "Flat 12", "u1"), (2, "R", "N 12", "u2")]
+
+
+def test_labels(spark):
+    from meterflow.plans import catalogue
+
+    arr = lambda *h: F.array(*map(F.lit, h)).cast("array<int>")
+    got = spark.range(1).select(catalogue.hours_label(arr(21, 22, 23, 0, 1, 2, 3, 4, 5)).alias("a"), catalogue.hours_label(arr(6, 7, 17)).alias("b"), catalogue.hours_label(arr()).alias("c")).first()
+    assert tuple(got) == ("21:00-06:00", "06:00-08:00, 17:00-18:00", "all day")
