@@ -7,35 +7,54 @@ import re
 import tempfile
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the contracts: anything between ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Lower-cases A-Z only, as the contracts ask; other letters stay.
-ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-#: Characters above which a text's words are met one by one.
-LAZY_CHARS = 1 << 22
+#: Words of the contracts, in UTF-8: anything between ASCII white space, which no byte of another character is.
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Characters (or bytes) above which a text's words are met one by one, and how many then make a list.
+LAZY_CHARS = LAZY_BYTES = 1 << 22
+WORD_LIST = 1 << 18
 #: Rows up to which a table of fixed-width rows may be broadcast (about 16 MB as a hash relation).
 BROADCAST_ROWS = 200_000
 
 
-def lower_ascii(text: str) -> str:
-    return text.translate(ASCII_LOWER) if not text.isascii() else text.lower()
+def words(text: str) -> Iterator[list[bytes]]:
+    """Lists of the words of a text with A-Z in lower case, in UTF-8; a very long text in several lists.
+
+    bytes.lower() changes A-Z only, and bytes.split() cuts at just the white space the contracts name.
+    """
+    data = text.encode().lower()
+    if len(data) <= LAZY_BYTES:
+        yield data.split()
+        return
+    held = []
+    for m in WORD.finditer(data):
+        held.append(m.group())
+        if len(held) == WORD_LIST:
+            yield held
+            held = []
+    yield held
 
 
 def word_counts(text: str) -> Counter:
-    """How often each word occurs in the lower-cased text; a very long text is never one list of words."""
-    text = lower_ascii(text)
-    if len(text) > LAZY_CHARS:
-        return Counter(m.group() for m in WORD.finditer(text))
-    return Counter(WORD.findall(text))
+    """How often each word occurs."""
+    counts: Counter = Counter()
+    for some in words(text):
+        counts.update(some)
+    return counts
+
+
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def text_of(name: str = "text") -> Column:
     """The column as a string, null as empty."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(F.col(quoted(name)).cast("string"), F.lit(""))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -37,7 +37,7 @@ from .common import lean, text_of, word_counts, written
 KEPT_SHARE = 2.0**-16
 HEAVY_WORDS = 200_000
 #: The token after the last word; it has white space, so it is no word.
-END = "\n"
+END = b"\n"
 TABLE_WORDS = 1_000_000
 BLOCK = 4 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -272,22 +272,33 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, heavy_words: int
 
         model, names, counts = shared.value
         scorer = Scorer(model)
-        gain = dict(zip(names, np.log10(counts + 1.0).tolist(), strict=True))
+        gain = dict(zip((w.encode() for w in names), np.log10(counts + 1.0).tolist(), strict=True))
         for batch in frames:
-            rows = {k: [] for k in ("n_tokens", "n_known", "known_log", "score", "n_bytes", "rare")}
+            rows = {k: [] for k in ("n_tokens", "n_known", "known_log", "score", "n_bytes")}
+            rare_words, rare_counts, rare_ends = [], [], [0]
             for text in batch.column(2).to_pylist():
+                tokens = known = 0
+                known_log = 0.0
                 counts = word_counts(text)
                 counts[END] += 1
-                known = [(n, g) for w, n in counts.items() if (g := gain.get(w)) is not None]
-                rows["n_tokens"].append(sum(counts.values()))
-                rows["n_known"].append(sum(n for n, _ in known))
-                rows["known_log"].append(sum(n * g for n, g in known))
-                rows["rare"].append([{"word": w, "n": n} for w, n in counts.items() if w not in gain])
+                for word, n in counts.items():
+                    tokens += n
+                    g = gain.get(word)
+                    if g is None:
+                        rare_words.append(word)
+                        rare_counts.append(n)
+                    else:
+                        known += n
+                        known_log += n * g
+                rare_ends.append(len(rare_words))
                 data = text.encode()
-                rows["score"].append(scorer.log10(data))
-                rows["n_bytes"].append(len(data))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(x, k) for x, k in zip(rows.values(), kinds, strict=True))], ["row", "doc_id", "held_out", *rows])
+                for column, value in zip(rows.values(), (tokens, known, known_log, scorer.log10(data), len(data)), strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.string()), pa.array(rare_counts, pa.int64())], ["word", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pairs)
+            columns = [pa.array(x, k) for x, k in zip(rows.values(), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *columns, rare], ["row", "doc_id", "held_out", *rows, "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = frame.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out").mapInArrow(

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, LAZY_CHARS, WORD, lean, slots, text_of, whole_groups, written
+from .common import lean, slots, text_of, whole_groups, words, written
 from .components import components, roots_of
 
 SEED = 42
@@ -41,42 +41,27 @@ BLOCK = 1 << 18
 SMALL_POSTING = 64
 
 
-def _words(text: str):
-    """Lists of lower-cased words; a very long text in several lists."""
-    lowered = text.lower() if text.isascii() else text.translate(ASCII_LOWER)
-    if len(lowered) <= LAZY_CHARS:
-        yield WORD.findall(lowered)
-        return
-    held = []
-    for m in WORD.finditer(lowered):
-        held.append(m.group())
-        if len(held) == BLOCK:
-            yield held
-            held = []
-    yield held
-
-
 def shingle_hashes(text: str, k: int):
     """Blocks of XXH64 values (seed 42) of the text's k-word shingles, joined by single spaces, repeats included."""
     from xxhash import xxh64_intdigest
 
-    tail: list[str] = []
+    tail: list[bytes] = []
     any_yet = False
-    for part in _words(text):
-        words = tail + part
-        if len(words) >= k:
-            data = " ".join(words).encode()
-            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words]) + np.arange(len(words))
-            starts = np.r_[0, ends[:-1] + 1][: len(words) - k + 1].tolist()
+    for part in words(text):
+        some = tail + part
+        if len(some) >= k:
+            data = b" ".join(some)
+            ends = np.cumsum(list(map(len, some))) + np.arange(len(some))
+            starts = np.r_[0, ends[:-1] + 1][: len(some) - k + 1].tolist()
             ends = ends[k - 1 :].tolist()
             for at in range(0, len(starts), BLOCK):
                 yield np.array([xxh64_intdigest(data[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], np.uint64)
             any_yet = True
-            tail = words[len(words) - k + 1 :] if k > 1 else []
+            tail = some[len(some) - k + 1 :] if k > 1 else []
         else:
-            tail = words
+            tail = some
     if not any_yet and tail:
-        yield np.array([xxh64_intdigest(" ".join(tail).encode(), SEED)], np.uint64)
+        yield np.array([xxh64_intdigest(b" ".join(tail), SEED)], np.uint64)
 
 
 def _bit_rows(hashes: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from meterflow.llm import simhash
+from meterflow.llm import common, simhash
 from meterflow.llm.components import components, roots_of
 from meterflow.llm.near_copies import drop_near_copies, groups, shingle_set, similar_pairs
 
@@ -45,7 +45,8 @@ def test_fingerprints_equal_brute_force(odd):
 def test_long_texts_in_pieces(monkeypatch):
     text = "Ab c dé  f\ng " * 40
     whole = np.concatenate(list(simhash.shingle_hashes(text, 3)))
-    monkeypatch.setattr(simhash, "LAZY_CHARS", 10)
+    monkeypatch.setattr(common, "LAZY_BYTES", 10)
+    monkeypatch.setattr(common, "WORD_LIST", 5)
     monkeypatch.setattr(simhash, "BLOCK", 7)
     assert (np.concatenate(list(simhash.shingle_hashes(text, 3))) == whole).all()
 
