@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, text_of, written
+from .common import lean, quoted, text_of, written
 
 DIMENSIONS = 1 << 18
 SAMPLE = 8192
@@ -154,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
     one = texts.mapInArrow(featurise, "turn long, doc_id long, label int, places array<int>, values array<float>")
-    rows = one.coalesce(1).mapInArrow(fit, "weights binary").collect()  # one row of fixed size
+    # At most `sample` rows meet in one task; the exchange keeps the scan of all documents on all tasks.
+    rows = one.repartition(1).mapInArrow(fit, "weights binary").collect()  # one row of fixed size
     return np.frombuffer(bytes(rows[0][0]), np.float32) if rows else np.zeros(DIMENSIONS + 1, np.float32)
 
 
@@ -165,8 +166,8 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_i
     # The text goes to Python once, even where it is one of the columns to keep.
     places = tuple(dict.fromkeys((*keep, text)))
     at = places.index(text)
-    carried = F.struct(*(F.col(f"`{c}`") for c in places)).alias("carried")
-    shape = "carried struct<" + ",".join(f"`{c}`:{docs.schema[c].dataType.simpleString()}" for c in places) + ">"
+    carried = F.struct(*(F.col(quoted(c)) for c in places)).alias("carried")
+    shape = "carried struct<" + ",".join(f"{quoted(c)}:{docs.schema[c].dataType.simpleString()}" for c in places) + ">"
 
     def run(frames):
         import pyarrow as pa
@@ -176,7 +177,7 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_i
             margins = np.array([w[-1] + (w[p] @ v) for p, v in (features.of(t or "") for t in batch.column(0).field(at).to_pylist())], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-margins)))], ["carried", "score"])
 
-    return docs.select(carried).mapInArrow(run, f"{shape}, score double").select(*(F.col(f"carried.`{c}`").alias(c) for c in keep), "score")
+    return docs.select(carried).mapInArrow(run, f"{shape}, score double").select(*(F.col(f"carried.{quoted(c)}").alias(c) for c in keep), "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, held_fold: int = 0) -> DataFrame:
@@ -192,4 +193,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     own = docs.columns
     marked = scored(docs.withColumnsRenamed({"score": "__score"}), weights, keep=tuple("__score" if c == "score" else c for c in own))
     kept = marked.where(F.col("score") >= threshold).drop("score")
-    return kept.withColumnsRenamed({"__score": "score"}).select(*own)
+    return kept.withColumnsRenamed({"__score": "score"}).select(*map(quoted, own))
