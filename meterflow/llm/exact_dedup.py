@@ -28,73 +28,65 @@ from pyspark.sql import functions as F
 
 from .common import slots, small, text_of, written
 
-#: The quotient's bits in a 64-bit fingerprint; the remainder has the others.
-QUOTIENT_BITS = 20
-#: Quotient bits that name a slice; slices are the unit of merging.
+#: Bits of a quotient that count within a slice; the bits before them name the slice, the rest is the remainder.
+LOCAL_BITS = 10
+#: Slices are the unit of merging: at least 2**SLICE_BITS, and so many that one holds about SLICE_ENTRIES at most.
 SLICE_BITS = 10
-REMAINDER_BITS = 64 - QUOTIENT_BITS
+SLICE_ENTRIES = 1 << 22
 
 
 class QuotientFilter:
-    """A counting quotient filter as sorted arrays: quotient, remainder, count."""
+    """A counting quotient filter as sorted arrays: 64-bit fingerprints (quotient, then remainder) and counts."""
 
-    def __init__(self, quotients: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
-        self.quotients, self.remainders, self.counts = quotients, remainders, counts
+    def __init__(self, fingerprints: np.ndarray, counts: np.ndarray, slice_bits: int = SLICE_BITS):
+        self.fingerprints, self.counts, self.slice_bits = fingerprints, counts, slice_bits
 
     @classmethod
-    def of(cls, fingerprints: np.ndarray) -> QuotientFilter:
+    def of(cls, fingerprints: np.ndarray, slice_bits: int = SLICE_BITS) -> QuotientFilter:
         values, counts = np.unique(fingerprints.astype(np.uint64), return_counts=True)
-        return cls(values >> np.uint64(REMAINDER_BITS), values & np.uint64((1 << REMAINDER_BITS) - 1), counts.astype(np.int64))
+        return cls(values, counts.astype(np.int64), slice_bits)
 
     @classmethod
-    def merged(cls, filters: list[QuotientFilter]) -> QuotientFilter:
+    def merged(cls, filters: list[QuotientFilter], slice_bits: int = SLICE_BITS) -> QuotientFilter:
         """Runs merged by sorted remainders, counts of equal ones added. Nothing is lost."""
-        values = np.concatenate([f.fingerprints() for f in filters]) if filters else np.empty(0, np.uint64)
+        values = np.concatenate([f.fingerprints for f in filters]) if filters else np.empty(0, np.uint64)
         counts = np.concatenate([f.counts for f in filters]) if filters else np.empty(0, np.int64)
+        if not len(values):
+            return cls(values, counts, slice_bits)
         order = np.argsort(values, kind="stable")  # the inputs are sorted runs, which a merge sort joins in linear passes
         values, counts = values[order], counts[order]
-        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
-        added = np.add.reduceat(counts, first) if len(values) else counts
-        values = values[first]
-        return cls(values >> np.uint64(REMAINDER_BITS), values & np.uint64((1 << REMAINDER_BITS) - 1), added)
-
-    def fingerprints(self) -> np.ndarray:
-        return (self.quotients << np.uint64(REMAINDER_BITS)) | self.remainders
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        return cls(values[first], np.add.reduceat(counts, first), slice_bits)
 
     def slices(self) -> list[tuple[int, bytes]]:
         """(slice number, coded slice) of the slices that hold anything."""
-        numbers = (self.quotients >> np.uint64(QUOTIENT_BITS - SLICE_BITS)).astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(numbers) else []
-        ends = [*starts[1:], len(numbers)] if len(numbers) else []
+        if not len(self.fingerprints):
+            return []
+        numbers = (self.fingerprints >> np.uint64(64 - self.slice_bits)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+        ends = [*starts[1:], len(numbers)]
         return [(int(numbers[a]), self._coded(slice(a, b))) for a, b in zip(starts, ends, strict=True)]
 
     def _coded(self, at: slice) -> bytes:
         """Occupied bits of the slice's quotients, a run-end bit and a remainder per entry, counters of those above one."""
-        quotients, remainders, counts = self.quotients[at], self.remainders[at], self.counts[at]
-        width = 1 << (QUOTIENT_BITS - SLICE_BITS)
-        occupied = np.zeros(width, bool)
-        occupied[(quotients & np.uint64(width - 1)).astype(np.int64)] = True
+        remainder_bits = np.uint64(64 - self.slice_bits - LOCAL_BITS)
+        values, counts = self.fingerprints[at], self.counts[at]
+        quotients = (values >> remainder_bits) & np.uint64((1 << LOCAL_BITS) - 1)
+        occupied = np.zeros(1 << LOCAL_BITS, bool)
+        occupied[quotients.astype(np.int64)] = True
         run_end = np.r_[quotients[1:] != quotients[:-1], True]
         many = counts > 1
-        return b"".join(
-            (
-                np.int64(len(quotients)).tobytes(),
-                np.packbits(occupied).tobytes(),
-                np.packbits(run_end).tobytes(),
-                np.packbits(many).tobytes(),
-                remainders.tobytes(),
-                counts[many].tobytes(),
-            )
-        )
+        remainders = values & ((np.uint64(1) << remainder_bits) - np.uint64(1))
+        parts = (np.array([len(values), self.slice_bits], np.int64), np.packbits(occupied), np.packbits(run_end), np.packbits(many), remainders, counts[many])
+        return b"".join(p.tobytes() for p in parts)
 
     @classmethod
     def from_slice(cls, number: int, coded: bytes) -> QuotientFilter:
-        width = 1 << (QUOTIENT_BITS - SLICE_BITS)
-        n = int(np.frombuffer(coded, np.int64, 1)[0])
-        at = 8
+        n, slice_bits = map(int, np.frombuffer(coded, np.int64, 2))
+        remainder_bits = np.uint64(64 - slice_bits - LOCAL_BITS)
+        width, bits, at = 1 << LOCAL_BITS, (n + 7) // 8, 16
         occupied = np.unpackbits(np.frombuffer(coded, np.uint8, width // 8, at)).astype(bool)
         at += width // 8
-        bits = (n + 7) // 8
         run_end = np.unpackbits(np.frombuffer(coded, np.uint8, bits, at))[:n].astype(bool)
         many = np.unpackbits(np.frombuffer(coded, np.uint8, bits, at + bits))[:n].astype(bool)
         at += 2 * bits
@@ -102,22 +94,23 @@ class QuotientFilter:
         counts = np.ones(n, np.int64)
         counts[many] = np.frombuffer(coded, np.int64, int(many.sum()), at + 8 * n)
         runs = np.cumsum(np.r_[0, run_end[:-1]]) if n else np.empty(0, np.int64)
-        quotients = np.flatnonzero(occupied)[runs].astype(np.uint64) + np.uint64(number * width)
-        return cls(quotients, remainders, counts)
+        quotients = np.flatnonzero(occupied)[runs].astype(np.uint64) | np.uint64(number << LOCAL_BITS)
+        return cls((quotients << remainder_bits) | remainders, counts, slice_bits)
 
 
 def repeated_fingerprints(frame: DataFrame, fingerprint: str) -> DataFrame:
     """(fp, n) of the fingerprints that occur more than once, by merged counting quotient filters."""
+    slice_bits = max(SLICE_BITS, (frame.count() // SLICE_ENTRIES).bit_length())
 
     def build(frames):
         import pyarrow as pa
 
         filters: list[QuotientFilter] = []
         for batch in frames:
-            filters.append(QuotientFilter.of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+            filters.append(QuotientFilter.of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), slice_bits))
             if len(filters) == 64:
-                filters = [QuotientFilter.merged(filters)]
-        parts = QuotientFilter.merged(filters).slices()
+                filters = [QuotientFilter.merged(filters, slice_bits)]
+        parts = QuotientFilter.merged(filters, slice_bits).slices()
         for i in range(0, len(parts), 256):
             some = parts[i : i + 256]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int32()), pa.array([c for _, c in some], pa.binary())], ["slice", "coded"])
@@ -126,12 +119,12 @@ def repeated_fingerprints(frame: DataFrame, fingerprint: str) -> DataFrame:
         import pyarrow as pa
 
         number = table.column("slice")[0].as_py()
-        whole = QuotientFilter.merged([QuotientFilter.from_slice(number, c) for c in table.column("coded").to_pylist()])
+        whole = QuotientFilter.merged([QuotientFilter.from_slice(number, c) for c in table.column("coded").to_pylist()], slice_bits)
         many = whole.counts > 1
-        return pa.table({"fp": pa.array(whole.fingerprints()[many].view(np.int64)), "n": pa.array(whole.counts[many])})
+        return pa.table({"fp": pa.array(whole.fingerprints[many].view(np.int64)), "n": pa.array(whole.counts[many])})
 
     slices = frame.select(F.col(fingerprint).cast("long")).mapInArrow(build, "slice int, coded binary")
-    return slices.repartition(min(slots(frame.sparkSession), 1 << SLICE_BITS), "slice").groupBy("slice").applyInArrow(merge, "fp long, n long")
+    return slices.repartition(min(slots(frame.sparkSession), 1 << slice_bits), "slice").groupBy("slice").applyInArrow(merge, "fp long, n long")
 
 
 def exact_groups(
