@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slots, text_of
+from .common import lean, quoted, slots, text_of
 
 #: Characters of a chunk and of what it reads beyond its end.
 CHUNK, OVERLAP = 1 << 15, 256
@@ -150,9 +150,9 @@ def encode_decode(
     lean(docs.sparkSession)
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    carried = F.struct(*(F.col(c) for c in kinds)).alias("carried")
+    carried = F.struct(*(F.col(quoted(c)) for c in kinds)).alias("carried")
     frame = docs.select(carried, text_of(text).alias("text"))
-    shape = "carried struct<" + ",".join(f"`{c}`:{k}" for c, k in kinds.items()) + ">"
+    shape = "carried struct<" + ",".join(f"{quoted(c)}:{k}" for c, k in kinds.items()) + ">"
     long_text = F.length("text") > chunk
 
     def short(frames):
@@ -230,4 +230,4 @@ def roundtrip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 added (replacing columns of those names); the text is the decoded one."""
     own = [c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256")]
     out = encode_decode(docs, path, pattern, keep=tuple(c for c in own if c != "doc_id"), with_ids=True)
-    return out.withColumnRenamed("decoded", "text").select(*[c for c in docs.columns if c in out.columns or c == "text"], "n_tokens", "ids_sha256", "decoded_sha256")
+    return out.withColumnRenamed("decoded", "text").select(*[quoted(c) for c in docs.columns if c in out.columns or c == "text"], "n_tokens", "ids_sha256", "decoded_sha256")

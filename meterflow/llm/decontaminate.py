@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, quoted
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -255,9 +255,9 @@ def marked(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: s
     # The text goes to Python once, even where it is one of the columns to keep.
     places = dict.fromkeys((*keep, text))
     types = {c: docs.schema[c].dataType.simpleString() for c in places}
-    carried = "carried struct<" + ",".join(f"`{c}`:{t}" for c, t in types.items()) + ">"
+    carried = "carried struct<" + ",".join(f"{quoted(c)}:{t}" for c, t in types.items()) + ">"
     at = list(places).index(text)
-    frame = docs.select(F.struct(*(F.col(f"`{c}`") for c in places)).alias("carried"), F.array().cast(hits_type).alias("hits"))
+    frame = docs.select(F.struct(*(F.col(quoted(c)) for c in places)).alias("carried"), F.array().cast(hits_type).alias("hits"))
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b)
         rows = block.orderBy("item_id", "item").collect()  # at most about block_bytes
@@ -277,7 +277,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: s
                 yield pa.RecordBatch.from_arrays([batch.column(0), before], ["carried", "hits"])
 
         frame = frame.mapInArrow(run, f"{carried}, hits {hits_type}")
-    return frame.select(*(F.col(f"carried.`{c}`").alias(c) for c in keep), "hits")
+    return frame.select(*(F.col(f"carried.{quoted(c)}").alias(c) for c in keep), "hits")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -289,6 +289,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in which no item was found."""
     own = docs.columns
     names = {c: f"__{i}" for i, c in enumerate(own)}
-    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    plain = docs.select(*(F.col(quoted(c)).alias(n) for c, n in names.items()))
     clean = marked(plain, benchmark, tuple(names.values()), text=names["text"]).where(F.size("hits") == 0)
     return clean.select(*(F.col(n).alias(c) for c, n in names.items()))

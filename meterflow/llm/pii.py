@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import quoted, text_of
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -131,7 +131,7 @@ def _spans(kind: str, gaps: Column, matches: Column) -> Column:
 
 def find_spans(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """docs with one column more, `spans`: array<struct<start,ord,end,kind,score>> sorted by start, then kind."""
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("spans",)]
+    own = [F.col(quoted(c)) for c in docs.columns if c not in ("spans",)]
     flagged = docs.select(*own, text_of(text).alias("__t")).withColumns({f"__need_{k}": F.regexp_like("__t", F.lit(NEEDS[k])) for k in kinds})
     cut = flagged.withColumns(
         {f"__g_{k}": F.when(F.col(f"__need_{k}"), F.split("__t", PATTERNS[k], -1)) for k in kinds}

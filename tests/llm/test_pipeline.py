@@ -4,6 +4,7 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -59,6 +60,20 @@ def test_run_equals_the_stages_one_by_one(spark, tables):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
 
 
+def test_stages_take_odd_rows_clashing_columns_and_empty_tables(spark, tables, odd, empty):
+    sf, _ = tables
+    clash = {c: F.lit(7) for c in ("score", "kept", "sha", "row", "hits", "fp", "carried", "a b`c")}
+    names = [*odd.columns, *clash]
+    for name, stage in corpus_pipeline.STAGES:
+        table = odd.withColumns(clash)
+        out = stage(spark, table, sf)
+        assert out.columns[: len(names)] == names, name
+        rows = out.collect()
+        assert 0 < len(rows) <= odd.count()
+        assert {r["a b`c"] for r in rows} == {7}
+        assert stage(spark, empty.withColumns(clash), sf).count() == 0, name
+
+
 def test_every_operator_has_its_query():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
