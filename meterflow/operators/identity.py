@@ -129,7 +129,7 @@ COUNTED_UNIT = r"(?i)\b\d{1,2}\s*(?:a\.?m\.?|p\.?m\.?|days?|hours?|hrs?|weeks?|%
 def term_from_name(name: Column) -> Column:
     """Months: an explicit count, else a trailing number, else the first one, after clock ranges and counted units are blanked; 1 to 60."""
     text = F.coalesce(name, F.lit(""))
-    plausible = lambda x: F.filter(F.transform(x, lambda v: v.cast("int")), lambda v: v.between(1, LONGEST_TERM))
+    plausible = lambda x: F.filter(F.transform(x, lambda v: v.try_cast("int")), lambda v: v.between(1, LONGEST_TERM))
     explicit = F.try_element_at(plausible(F.slice(F.regexp_extract_all(text, F.lit(EXPLICIT_TERM), F.lit(1)), 1, 1)), F.lit(1))
     masked = F.regexp_replace(F.regexp_replace(text, CLOCK_RANGE, " "), COUNTED_UNIT, " ")
     trailing = F.regexp_extract_all(F.trim(masked), F.lit(r"\b(\d{1,2})\s*$"), F.lit(1))
@@ -139,7 +139,7 @@ def term_from_name(name: Column) -> Column:
 
 def term_from_listed_name(name: Column) -> Column:
     """A trailing number that is a contract length in use."""
-    n = F.nullif(F.regexp_extract(F.coalesce(name, F.lit("")), r"(\d{1,2})\s*$", 1), F.lit("")).cast("int")
+    n = F.nullif(F.regexp_extract(F.coalesce(name, F.lit("")), r"(\d{1,2})\s*$", 1), F.lit("")).try_cast("int")
     return F.when(n.isin(*PLAUSIBLE_TERMS), n)
 
 

@@ -13,6 +13,9 @@ IMPORT_TYPES = ("view", "click", "signup")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Instants are UTC throughout; local time is always worked out from a named zone.
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

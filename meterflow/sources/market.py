@@ -44,8 +44,8 @@ def index_rows(files: DataFrame) -> DataFrame:
 def tidy_index(rows: DataFrame) -> DataFrame:
     """Index rows typed: rates, export kind, fees, term, whether a battery is needed. The source's own cost estimate is never read."""
     none = lambda c: F.regexp_like(_cell(F.col(c)), F.lit("(?i)^none$"))
-    rate = lambda c: F.nullif(F.regexp_extract(_cell(F.col(c)), RATE, 1), F.lit("")).cast("double")
-    usd = lambda c: F.when(none(c), 0.0).otherwise(F.coalesce(F.nullif(F.regexp_extract(_cell(F.col(c)), DOLLARS, 1), F.lit("")).cast("double"), F.lit(0.0)))
+    rate = lambda c: F.nullif(F.regexp_extract(_cell(F.col(c)), RATE, 1), F.lit("")).try_cast("double")
+    usd = lambda c: F.when(none(c), 0.0).otherwise(F.coalesce(F.nullif(F.regexp_extract(_cell(F.col(c)), DOLLARS, 1), F.lit("")).try_cast("double"), F.lit(0.0)))
     indexed = F.regexp_like(_cell(F.col("c_export")), F.lit(r"(?i)real\s*time"))
     export = rate("c_export")
     return rows.select(

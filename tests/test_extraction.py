@@ -171,3 +171,10 @@ def test_labels(spark):
     arr = lambda *h: F.array(*map(F.lit, h)).cast("array<int>")
     got = spark.range(1).select(catalogue.hours_label(arr(21, 22, 23, 0, 1, 2, 3, 4, 5)).alias("a"), catalogue.hours_label(arr(6, 7, 17)).alias("b"), catalogue.hours_label(arr()).alias("c")).first()
     assert tuple(got) == ("21:00-06:00", "06:00-08:00, 17:00-18:00", "all day")
+
+
+def test_numbers_too_large_are_no_numbers(spark):
+    big = "9" * 400
+    text = f"Contract Term: {big} Months. Base Charge: ${big} per month. Energy Charge: {big} ¢ per kWh. A credit of ${big} when usage is at least 5 kWh. {big}:00 am to 5 pm"
+    got = facts.drafts(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(got) == 1 and got[0].term_months == 12
