@@ -27,11 +27,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, quoted, slots, text_of
+from .common import lean, quoted, released, slots, text_of
 
 #: Characters of a chunk and of what it reads beyond its end.
 CHUNK, OVERLAP = 1 << 15, 256
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,10 +53,12 @@ class Coder:
         ranks = load_ranks(path)
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {i: t for t, i in ranks.items()}
+        #: One object per id, which all entries of the table share.
+        self.own = {i: i for i in self.bytes_of}
         #: The library's \s is Unicode's White_Space; `regex` has U+001C to U+001F besides.
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
         self.common = regex.compile(COMMON)
-        self.table: dict[str, list[int]] = {}
+        self.table: dict[str, tuple[int, ...]] = {}
         self.table_entries = table_entries
 
     def boundaries(self, text: str, start: int = 0) -> list[int]:
@@ -73,7 +75,7 @@ class Coder:
             if got is None:
                 if len(table) >= self.table_entries:
                     table.clear()
-                got = table[piece] = self.encoding.encode_ordinary(piece)
+                got = table[piece] = tuple(map(self.own.__getitem__, self.encoding.encode_ordinary(piece)))
             ids += got
         return ids
 
@@ -156,6 +158,7 @@ def encode_decode(
     long_text = F.length("text") > chunk
 
     def short(frames):
+        released()
         coder = None
         for batch in frames:
             coder = coder or Coder(path, pattern)
@@ -183,6 +186,7 @@ def encode_decode(
                     )
 
     def pre_tokenise(frames):
+        released()
         coder = None
         for batch in frames:
             coder = coder or Coder(path, pattern)

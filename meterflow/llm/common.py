@@ -47,6 +47,20 @@ def word_counts(text: str) -> Counter:
     return counts
 
 
+def released() -> None:
+    """Gives back to the system what a worker's earlier tasks have freed: workers outlive tasks and stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def quoted(name: str) -> str:
     """A column's name as SQL takes it, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
@@ -99,7 +113,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 #: What one record batch handed to Python may hold.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def lean(spark: SparkSession) -> SparkSession:
@@ -127,6 +141,7 @@ def whole_groups(frames, keys: int):
     import numpy as np
     import pyarrow as pa
 
+    released()
     held = None
     for batch in frames:
         if not batch.num_rows:

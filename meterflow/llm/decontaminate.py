@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, quoted
+from .common import lean, quoted, released
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -266,6 +266,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: s
         def run(frames, shared=shared):
             import pyarrow as pa
 
+            released()
             item_ids, texts = shared.value
             index = Index(texts)
             for batch in frames:

@@ -24,13 +24,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, quoted, text_of, written
+from .common import lean, quoted, released, text_of, written
 
 DIMENSIONS = 1 << 18
 SAMPLE = 8192
 PASSES = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 400_000
 PIECE_CHARS = 1 << 20
 SHAPES = 7
 
@@ -172,6 +172,7 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_i
     def run(frames):
         import pyarrow as pa
 
+        released()
         features, w = Features(), shared.value.astype(np.float64)
         for batch in frames:
             margins = np.array([w[-1] + (w[p] @ v) for p, v in (features.of(t or "") for t in batch.column(0).field(at).to_pylist())], np.float64)
