@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import market
-from .files import appended, csv_rows, lines, listing, newest, texts, with_neighbours
+from .files import appended, lines, listing, newest, texts, with_neighbours
 
 # Sections of an index that list plans, and its header cells.
 SECTIONS = ("Meter Plan Availability", "Competitor Plan Availability")
@@ -17,10 +17,14 @@ OFFERS = "array<struct<`@id`:string,name:string,areaServed:array<struct<`@type`:
 
 
 def load_list(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """The newest market list under path, typed. Encodings: UTF-8 with or without mark; bytes that are no UTF-8 show as replacement signs."""
-    latest = newest(listing(spark, path, pattern, recursive=False)).select("name")
-    rows = csv_rows(texts(spark, path, pattern).join(F.broadcast(latest), "name", "left_semi"), market.HEADERS)
-    return market.tidy(rows.drop("path", "name", "modified", "row"))
+    """The newest market list under path, typed; columns of unknown names stay, at the end.
+
+    Bytes that are no UTF-8 show as replacement signs; a byte-order mark is no part of the first name.
+    """
+    latest = newest(listing(spark, path, pattern, recursive=False)).first()
+    if latest is None:
+        raise FileNotFoundError(f"no market list in {path}")
+    return market.tidy(spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(latest.path))
 
 
 def _cell(x: Column) -> Column:
