@@ -161,10 +161,12 @@ def exact_groups(
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose text is the kept one of its group; rows repeated with one id leave one."""
     groups = exact_groups(docs, id_col, text)
-    copied = written(groups.where("group_size > 1").select(F.col(id_col).alias("__id"), "kept"), "copies")
-    gone = copied.where("not kept").select("__id").distinct()
-    again = copied.where("kept").groupBy("__id").count().where("count > 1").select("__id")
-    out = docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    twice = small(again)
-    once = out.join(twice, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, text])
-    return out.join(twice, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").unionByName(once)
+    copied = written(groups.where("group_size > 1").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "copies")
+    # An id may stand for several texts (a null one for many), so a row goes by its id and its text.
+    at = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(text_of(text), 256) == F.col("__sha"))
+    gone = copied.where("not kept").select("__id", "__sha").distinct()
+    again = copied.where("kept").groupBy("__id", "__sha").count().where("count > 1").select("__id", "__sha")
+    out = docs.join(small(gone, 100_000), at, "left_anti")
+    twice = small(again, 100_000)
+    once = out.join(twice, at, "left_semi").dropDuplicates([id_col, text])
+    return out.join(twice, at, "left_anti").unionByName(once)

@@ -69,3 +69,10 @@ def test_stage_keeps_one_row_and_all_columns_of_each_text(docs, spark):
 
 def test_stage_leaves_one_of_rows_repeated_with_one_id(docs):
     assert [r.doc_id for r in drop_exact_copies(docs(["a", "a"], [4, 4])).collect()] == [4]
+
+
+def test_stage_drops_rows_by_id_and_text(docs, odd):
+    """A null id or a repeated one does not go with another text of that id."""
+    table = docs(["copy", "copy", "alone", "other", "twin", "twin", "own"], [9, None, None, None, 1, 2, 1])
+    assert sorted((r.doc_id or -1, r.text) for r in drop_exact_copies(table).collect()) == [(-1, "alone"), (-1, "other"), (1, "own"), (2, "twin"), (9, "copy")]
+    assert [r.doc_id for r in drop_exact_copies(odd).where("text = 'no id'").collect()] == [None]
