@@ -3,7 +3,8 @@ r"""Benchmark decontamination: windows of each item's size, SimHash, multi-index
 Texts and items are lower-cased and read as words (\w+), so layout, case and punctuation do not
 matter; shingles are five words (the whole item, if it is shorter). For an item of n shingles, every
 window of n shingles of every document counts: it matches when the weighted similarity of the two
-shingle multisets (sum of the lesser counts by sum of the greater) is at least 0.8.
+shingle multisets (sum of the lesser counts by sum of the greater) is at least 0.8. A document with
+fewer shingles than the item is one shorter window, if it has enough to reach the threshold.
 
 1. A window that reaches the threshold shares at least 2t/(1+t) of the n shingles with items of its
    size. A running count of shared shingles leaves out, without loss, the windows that cannot.
@@ -207,37 +208,39 @@ class Index:
             signs_of = _mixed(hashes, k)
             for group in sized:
                 n = group.n
-                if len(ids) < n:
+                size = min(n, len(ids))
+                if size < THRESHOLD * n - 1e-9:
                     continue
+                least = group.least if size == n else int(np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + size) - 1e-9))
                 hit = np.where(ids >= 0, group.member[ids], False)
                 run = np.r_[0, np.cumsum(hit)]
-                starts = np.flatnonzero(run[n:] - run[:-n] >= max(1, group.least))
+                starts = np.flatnonzero(run[size:] - run[:-size] >= max(1, least))
                 for at in range(0, len(starts), 4096):
-                    self._verify(group, k, ids, signs_of, starts[at : at + 4096], best)
+                    self._verify(group, k, size, ids, signs_of, starts[at : at + 4096], best)
         return [(i, start, end, similarity) for i, (similarity, start, end) in sorted(best.items())]
 
-    def _verify(self, group: Sized, k: int, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, best: dict) -> None:
+    def _verify(self, group: Sized, k: int, size: int, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, best: dict) -> None:
         n = group.n
         # Running sums only over the stretches that hold windows.
-        cuts = np.flatnonzero(np.r_[True, np.diff(starts) > n])
+        cuts = np.flatnonzero(np.r_[True, np.diff(starts) > size])
         for a, b in zip(cuts, [*cuts[1:], len(starts)], strict=True):
             low = starts[a]
-            sums = np.cumsum(_signs(hashes[low : starts[b - 1] + n]), axis=0)
+            sums = np.cumsum(_signs(hashes[low : starts[b - 1] + size]), axis=0)
             sums = np.concatenate((np.zeros((1, 64), sums.dtype), sums))
-            prints = _packed(sums[starts[a:b] - low + n] - sums[starts[a:b] - low])
+            prints = _packed(sums[starts[a:b] - low + size] - sums[starts[a:b] - low])
             for start, fingerprint in zip(starts[a:b].tolist(), prints, strict=True):
                 near = group.index.near(fingerprint)
                 if not len(near):
                     continue
-                found, times = np.unique(ids[start : start + n], return_counts=True)
+                found, times = np.unique(ids[start : start + size], return_counts=True)
                 window = {int(x): int(t) for x, t in zip(found, times, strict=True) if x >= 0}
                 for j in near:
                     own = group.counts[j]
                     both = sum(min(t, own.get(x, 0)) for x, t in window.items())
-                    similarity = both / (2 * n - both)
+                    similarity = both / (n + size - both)
                     item = group.items[j]
                     if similarity >= THRESHOLD and (item not in best or similarity > best[item][0]):
-                        best[item] = (similarity, start, start + n + k - 1)
+                        best[item] = (similarity, start, start + size + k - 1)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

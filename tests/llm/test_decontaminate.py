@@ -102,3 +102,32 @@ def test_odd_rows_and_stage(spark, odd, docs, items):
     assert sorted(r.doc_id for r in kept) == [1, 3]
     assert kept[0].asDict().keys() == dict.fromkeys(table.columns).keys()
     assert {r.text for r in kept} == {"clean words here", None}
+
+
+def brute_short(text, item):
+    """brute, with a document of fewer shingles than the item as one window."""
+    w, d = words_of(item), words_of(text)
+    k = min(5, len(w))
+    if not k <= len(d) < len(w):
+        return brute(text, item)
+    runs = lambda x: Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1))
+    own, window = runs(w), runs(d)
+    both = sum((own & window).values())
+    return both / (sum(own.values()) + sum(window.values()) - both)
+
+
+def test_documents_shorter_than_the_item_are_one_window(items):
+    texts, _ = items
+    rng, index = random.Random(8), Index(texts)
+    near = 0
+    for i, item in enumerate(texts):
+        words = item.split()
+        for cut in range(min(len(words), 14)):
+            at = rng.randint(0, cut)
+            text = " ".join(edited(rng, words[at : len(words) - cut + at], rng.choice([0, 0, 1])))
+            best = brute_short(text, item)
+            got = {m[0]: m[1:] for m in index.matches(text)}
+            near += best >= 0.8 and len(text.split()) < len(words)
+            assert (i in got) == (best >= 0.8)
+            assert i not in got or got[i][2] == pytest.approx(best) and got[i][1] <= len(words_of(text))
+    assert near > 100
