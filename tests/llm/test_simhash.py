@@ -172,3 +172,22 @@ def test_pairs_by_counting_equal_brute_force():
         i, j = similar_pairs(some, 0.5)
         want = {(a, b) for a in range(len(some)) for b in range(a + 1, len(some)) if len(set(some[a]) & set(some[b])) >= 0.5 * len(set(some[a]) | set(some[b]))}
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_short_edited_pairs_are_all_found(docs):
+    """Pairs of 8 to 100 words with a word or two changed: those within 0.8 by brute force, and no others."""
+    rng, texts, want = random.Random(3), [], set()
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    for number in range(600):
+        size = rng.choice([8, 10, 13, 20, 40, 84, 100])
+        first = [word() for _ in range(size)]
+        other = [word(), *first] if number % 3 == 0 else [*first[:-1], word()] if number % 3 == 1 else [*first, word()]
+        if size >= 84:
+            other[rng.randrange(size)] = word()
+        a, b = " ".join(first), " ".join(other)
+        runs = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (first, other)]
+        if len(runs[0] & runs[1]) >= 0.8 * len(runs[0] | runs[1]):
+            want.add(len(texts) + 1)
+        texts += [a, b]
+    kept = {r.doc_id for r in drop_near_copies(docs(texts)).collect()}
+    assert len(want) > 200 and set(range(len(texts))) - kept == want
