@@ -6,7 +6,7 @@ addresses, social security numbers) confirm them; words near a span raise its sc
 Kinds, in the order that breaks ties between spans with one start:
 
 * base, always kept once confirmed: email, ip, card, phone;
-* added: iban (15 to 34 characters, mod-97 equal to 1) and ssn (ddd-dd-dddd with valid ranges), which
+* added: iban (15 to 34 characters up to the end of a word, mod-97 equal to 1, the longest) and ssn (ddd-dd-dddd with valid ranges), which
   needs a context word near it to reach the score threshold.
 
 Offsets are code points, end exclusive. Null texts count as empty and have no spans. Repeated rows
@@ -32,7 +32,9 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Where an IBAN may start; how far it goes, its checksum says.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+IBAN_RUN = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 #: A cheap test of the whole text per kind; a text without it has no match, so the costly pattern is skipped.
 NEEDS = {
@@ -59,6 +61,7 @@ PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn":
 CONTEXT_BONUS = 0.2
 THRESHOLD = 0.5
 NEAR = 48  #: characters on either side in which context words count
+IBAN_TAIL = 60  #: characters an IBAN may have after its first four, with blanks between
 
 
 def _digits(x: Column) -> Column:
@@ -76,6 +79,13 @@ def _mod97(iban: Column) -> Column:
     return F.aggregate(values, F.lit(0), step)
 
 
+def _iban(run: Column) -> Column:
+    """The longest part of a run, from its start and up to where a word ends, whose checksum is right; else null."""
+    ends = F.filter(F.sequence(F.length(run), F.lit(15), F.lit(-1)), lambda n: F.regexp_like(F.substr(run, n, F.lit(2)), F.lit(r"^[A-Z0-9](?:[^A-Za-z0-9]|$)")))
+    parts = F.transform(ends, lambda n: F.left(run, n))
+    return F.get(F.filter(parts, lambda m: _confirmed("iban", m)), F.lit(0))
+
+
 def _confirmed(kind: str, m: Column) -> Column:
     digits = _digits(m)
     if kind == "ip":
@@ -98,6 +108,7 @@ def _confirmed(kind: str, m: Column) -> Column:
 
 
 def _score(kind: str, before: Column, after: Column) -> Column:
+    """before and after: at least NEAR characters of the text, or all there are."""
     near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))))
     found = F.regexp_like(near, F.lit(f"(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])"))
     return F.lit(PRIOR[kind]) + F.when(found, CONTEXT_BONUS).otherwise(0.0)
@@ -106,14 +117,31 @@ def _score(kind: str, before: Column, after: Column) -> Column:
 def _spans(kind: str, gaps: Column, matches: Column) -> Column:
     """The confirmed spans of one kind: array<struct<start,ord,end,kind,score>>, in one pass over the matches."""
     order = list(PATTERNS).index(kind)
-    pieces = F.arrays_zip(gaps.alias("g"), matches.alias("m"), F.slice(gaps, 2, F.size(matches)).alias("after"))
+    reach = NEAR + (IBAN_TAIL + 1 if kind == "iban" else 0)
+    cut = lambda x: F.left(x, F.lit(reach))
+    # What follows a match within reach lies in the next gaps and matches; a match has two characters at least.
+    heads = F.transform(F.arrays_zip(F.slice(gaps, 2, F.size(matches)).alias("g"), F.slice(matches, 2, F.size(matches)).alias("m")), lambda x: F.concat(cut(x["g"]), F.coalesce(cut(x["m"]), F.lit(""))))
+    follow = F.transform(matches, lambda m, i: cut(F.array_join(F.slice(heads, i + 1, reach // 2 + 1), "")))
+    pieces = F.arrays_zip(gaps.alias("g"), matches.alias("m"), follow.alias("after"))
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,score:double>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        score = _score(kind, x["g"], x["after"])
-        keep = _confirmed(kind, x["m"]) if kind in BASE else _confirmed(kind, x["m"]) & (score >= THRESHOLD)
+        upto = start + F.length(x["m"])
+        before = F.right(F.concat(acc["tail"], F.right(x["g"], F.lit(NEAR))), F.lit(NEAR))
+        tail = F.right(F.concat(before, x["m"]), F.lit(NEAR))
+        if kind == "iban":
+            # The run is read to the character after it, so that its last word is known to end there.
+            ahead = F.concat(x["m"], x["after"])
+            run = F.regexp_extract(ahead, IBAN_RUN, 0)
+            found = _iban(F.left(ahead, F.length(run) + 1))
+            end = start + F.coalesce(F.length(found), F.lit(0))
+            score = _score(kind, before, F.substr(ahead, F.length(found) + 1, F.lit(NEAR)))
+            keep = found.isNotNull() & (score >= THRESHOLD) & (start >= acc["free"])
+        else:
+            end = upto
+            score = _score(kind, before, x["after"])
+            keep = _confirmed(kind, x["m"]) if kind in BASE else _confirmed(kind, x["m"]) & (score >= THRESHOLD)
         span = F.struct(
             start.cast("int").alias("start"),
             F.lit(order).alias("ord"),
@@ -122,10 +150,11 @@ def _spans(kind: str, gaps: Column, matches: Column) -> Column:
             score.alias("score"),
         )
         out = F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.cast("int").alias("pos"), out.alias("out"))
+        free = F.when(keep, end).otherwise(acc["free"])
+        return F.struct(upto.cast("int").alias("pos"), tail.alias("tail"), free.cast("int").alias("free"), out.alias("out"))
 
     pieces = F.filter(pieces, lambda x: x["m"].isNotNull())
-    folded = F.aggregate(pieces, F.struct(F.lit(0).alias("pos"), none.alias("out")), step)["out"]
+    folded = F.aggregate(pieces, F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.lit(0).alias("free"), none.alias("out")), step)["out"]
     return F.when(matches.isNull() | (F.size(matches) == 0), none).otherwise(folded)
 
 

@@ -95,3 +95,17 @@ def test_other_columns_stay_and_redaction_replaces(docs):
     rows = {r.doc_id: r for r in find_spans(table).collect()}
     assert rows[0]["__x y"] == 2 and rows[0].spans[0].kind == "email"
     assert [r.redacted for r in redact(docs(["mail a@b.c now", None])).orderBy("doc_id").collect()] == ["mail <email> now", ""]
+
+
+def test_context_reaches_over_neighbouring_matches(docs):
+    numbers = ["123-45-6789", "234-56-7890", "345-67-8901"]
+    texts = ["SSN: " + ", ".join(numbers), ", ".join(numbers) + " are SSN", "SSN" + " " * 45 + ", ".join(numbers)]
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in find_spans(docs(texts)).collect()}
+    assert got == {0: numbers, 1: numbers, 2: numbers[:1]}
+
+
+def test_ibans_end_where_their_checksum_is_right(docs):
+    a, b = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"{a} Please pay", f"to {b} BIC COBADEFF", f"{a} {b}", f"{b} {a}.", f"{a}x", f"{a[:-1]}1 Please", b, f"{b} 2 X"]
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "iban"] for r in find_spans(docs(texts)).collect()}
+    assert got == {0: [a], 1: [b], 2: [a, b], 3: [b, a], 4: [], 5: [], 6: [b], 7: [b]}
