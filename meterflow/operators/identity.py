@@ -198,6 +198,8 @@ def still_listed(plans: DataFrame, listings: DataFrame) -> DataFrame:
     distinctive word fall back to brand and term."""
     p = with_tokens(plans.select(*IDENTITY))
     k = listings.select("retailer", "name", F.col("term_months").alias("listed_term")).withColumns({"r_tokens": tokens(F.col("retailer")), "name_words": tokens(F.col("name"))})
+    # Listings that read alike decide alike: one of them meets the plans.
+    k = k.select("listed_term", "r_tokens", "name_words").distinct()
     words = p.withColumn("word", F.explode("r_tokens")).alias("p").join(k.withColumn("word", F.explode("r_tokens")).alias("k"), "word")
     l = F.struct(F.col("p.term_months").alias("term_months"), F.col("p.r_tokens").alias("r_tokens"), F.col("p.name_words").alias("name_words"))  # noqa: E741
     r = F.struct(F.coalesce("listed_term", "p.term_months").alias("term_months"), F.col("k.r_tokens").alias("r_tokens"), F.col("k.name_words").alias("name_words"))

@@ -112,3 +112,12 @@ def test_end_of_a_refresh(spark):
     assert [(r.id, r.action, r.by) for r in done["superseded"].collect()] == [("syn", "remove", "real")]
     assert [r.id for r in done["pruned"].collect()] == ["old_syn"]
     assert str(done["plans"].where("id = 'real'").first().retrieved) == "2026-07-01"
+
+
+def test_reconcile_action_decides_every_part(spark, monkeypatch):
+    from meterflow.queries import identity as q
+
+    parts = spark.range(1, 901).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "cast(id % 50 + 1 AS int) AS p_size")
+    monkeypatch.setattr(q.a, "table", lambda *_: parts)
+    rows = q.reconcile_action(spark, "").collect()
+    assert len(rows) == len({r.id for r in rows}) == 900 and all(r.action for r in rows)
