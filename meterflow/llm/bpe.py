@@ -9,6 +9,9 @@ overlap has no shared boundary (one endless word, say), the stitcher goes on mat
 sure boundary until it meets the later chunk's boundaries. A chunk's boundaries near its end are not
 trusted: the pattern may look, or match, past it.
 
+Where the library's pattern engine and ours may differ on a character (pretokens.py), the stretch
+between two sure cuts around it is one piece; chunks are stitched around it all the same.
+
 After stitching, each piece is encoded by the ranks; ids of a piece met before come from a table of
 bounded size. Decoding joins the raw bytes of the ids, so a character split between ids comes back
 whole.
@@ -28,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, quoted, released, slots, text_of
+from .pretokens import Splitter
 
 #: Characters of a chunk and of what it reads beyond its end.
 CHUNK, OVERLAP = 1 << 15, 256
 TABLE_ENTRIES = 200_000
+#: Longer pieces are encoded anew each time.
+TABLE_CHARS = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,44 +51,38 @@ class Coder:
     """Encodes pieces by the ranks of a file and decodes ids; one per task."""
 
     def __init__(self, path: str, pattern: str, table_entries: int = TABLE_ENTRIES):
-        import regex
         import tiktoken
 
-        from .token_counts import COMMON, SPACE
-
         ranks = load_ranks(path)
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {i: t for t, i in ranks.items()}
         #: One object per id, which all entries of the table share.
         self.own = {i: i for i in self.bytes_of}
-        #: The library's \s is Unicode's White_Space; `regex` has U+001C to U+001F besides.
-        self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
-        self.common = regex.compile(COMMON)
+        self.splitter = Splitter(pattern)
         self.table: dict[str, tuple[int, ...]] = {}
         self.table_entries = table_entries
 
     def boundaries(self, text: str, start: int = 0) -> list[int]:
         """The ends of the pre-tokens from `start` on."""
-        return [m.end() for m in self.pattern.finditer(text, start)]
+        return list(self.splitter.ends(text, start))
 
     def pieces(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
+        return self.splitter.pieces(text)
 
     def encode(self, pieces: list[str]) -> list[int]:
         table, ids = self.table, []
         for piece in pieces:
             got = table.get(piece)
             if got is None:
-                if len(table) >= self.table_entries:
-                    table.clear()
-                got = table[piece] = tuple(map(self.own.__getitem__, self.encoding.encode_ordinary(piece)))
+                got = tuple(map(self.own.__getitem__, self.encoding.encode_ordinary(piece)))
+                if len(piece) <= TABLE_CHARS:
+                    if len(table) >= self.table_entries:
+                        table.clear()
+                    table[piece] = got
             ids += got
         return ids
 
     def encode_text(self, text: str) -> list[int]:
-        """Texts with characters on which pattern engines may differ go to the library whole."""
-        if not self.common.fullmatch(text):
-            return self.encoding.encode_ordinary(text)
         return self.encode(self.pieces(text))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -112,10 +112,10 @@ def stitch(text: str, chunks: list[tuple[int, list[int]]], coder: Coder, overlap
         meet = next((x for x in out[at:] if x in here), None)
         if meet is None:
             position = out[-1] if out else 0
-            for m in coder.pattern.finditer(text, position):
-                out.append(m.end())
-                if m.end() in here:
-                    meet = m.end()
+            for end in coder.splitter.ends(text, position):
+                out.append(end)
+                if end in here:
+                    meet = end
                     break
             else:
                 return out  # matched to the end of the text by itself
@@ -200,11 +200,8 @@ def encode_decode(
         table = table.take(pa.array(order))
         starts, parts = table.column("start").to_pylist(), table.column("part").to_pylist()
         whole = "".join(p[:chunk] for p in parts[:-1]) + parts[-1]
-        if coder.common.fullmatch(whole):
-            ends = stitch(whole, list(zip(starts, table.column("ends").to_pylist(), strict=True)), coder, overlap)
-            ids = coder.encode([whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-        else:
-            ids = coder.encoding.encode_ordinary(whole)
+        ends = stitch(whole, list(zip(starts, table.column("ends").to_pylist(), strict=True)), coder, overlap)
+        ids = coder.encode([whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
         out = _batch(pa, table.column("carried").slice(0, 1).combine_chunks(), [_codes(coder, whole, ids, with_ids)], with_ids)
         return pa.Table.from_batches([out])
 

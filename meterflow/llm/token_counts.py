@@ -7,6 +7,10 @@ to a bound of entries after which it starts anew (a matter of speed, not of resu
 shuffled: a distributed join would move a row for each distinct pre-token of each document, more
 bytes than the texts themselves.
 
+Where the library's pattern engine and ours may differ on a character (pretokens.py), the stretch
+between two sure cuts around it is one unit, whose pieces the library counts; the rest of the text
+keeps its pre-tokens.
+
 The special string of the vocabulary counts as one token wherever it stands, as the library's
 default has it, and cuts the text on both sides.
 
@@ -24,17 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, text_of
+from .pretokens import Splitter
 
-#: Unicode's White_Space, which the library's patterns mean by \s; Python's `regex` adds U+001C to U+001F.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The pre-token pattern of the vocabulary (a fixed value), with \s spelled out.
-PRE_TOKEN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-    rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
-#: Texts with letters or digits outside these ranges go to the library whole: there the Unicode versions of the two pattern engines may differ.
-COMMON = r"[\x00-\u02af\u0300-\u036f\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u1e00-\u1eff\u2000-\u2064\u20a0-\u20bd\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
+#: The pre-token pattern of the vocabulary (a fixed value).
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TABLE_ENTRIES = 1_000_000
+#: Longer pieces are counted for their text alone.
+TABLE_CHARS = 64
 #: Texts above so many characters are cut lazily instead of into one list.
 LAZY_CHARS = 1 << 20
 
@@ -43,42 +43,39 @@ class PieceCounter:
     """Counts tokens of texts by one tokenizer file of the `tokenizers` library."""
 
     def __init__(self, path: str, table_entries: int = TABLE_ENTRIES):
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pattern, self.common = regex.compile(PRE_TOKEN), regex.compile(COMMON)
+        self.splitter = Splitter(PRE_TOKEN)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table: dict[str, int] = {}
         self.table_entries = table_entries
 
     def frequencies(self, text: str) -> Counter:
         if len(text) > LAZY_CHARS:
-            return Counter(m.group() for m in self.pattern.finditer(text))
-        return Counter(self.pattern.findall(text))
+            return Counter(self.splitter.each(text))
+        return Counter(self.splitter.pieces(text))
 
-    def learn(self, pre_tokens: list[str]) -> None:
-        """Adds the pieces of new pre-tokens to the table, each counted once."""
+    def learn(self, pre_tokens: list[str]) -> dict[str, int]:
+        """The pieces of each new pre-token, counted once; the table takes all but long ones."""
+        found: dict[str, int] = {}
         for at in range(0, len(pre_tokens), 4096):
             part = pre_tokens[at : at + 4096]
-            self.table.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
+            found.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
+        self.table.update((t, n) for t, n in found.items() if len(t) <= TABLE_CHARS)
+        return found
 
     def counts(self, texts: list[str]) -> list[int]:
-        special, whole, per_text = [0] * len(texts), {}, []
-        for i, text in enumerate(texts):
-            if not self.common.fullmatch(text):
-                whole[i] = len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-                per_text.append(Counter())
-                continue
+        special, per_text = [], []
+        for text in texts:
             parts = [text]
             for mark in self.special:
                 if mark in text:
                     parts = [p for part in parts for p in part.split(mark)]
-            special[i] = len(parts) - 1
+            special.append(len(parts) - 1)
             own = self.frequencies(parts[0])
             for part in parts[1:]:
                 own.update(self.frequencies(part))
@@ -87,9 +84,9 @@ class PieceCounter:
         if len(self.table) + len(new) > self.table_entries:
             self.table.clear()
             new = set().union(*per_text)
-        self.learn(list(new))
-        pieces = self.table.__getitem__
-        return [whole[i] if i in whole else special[i] + sum(n * pieces(t) for t, n in own.items()) for i, own in enumerate(per_text)]
+        long = {t: n for t, n in self.learn(list(new)).items() if len(t) > TABLE_CHARS}
+        pieces = self.table.__getitem__ if not long else lambda t: long[t] if len(t) > TABLE_CHARS else self.table[t]
+        return [marks + sum(n * pieces(t) for t, n in own.items()) for marks, own in zip(special, per_text, strict=True)]
 
 
 def batches(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
