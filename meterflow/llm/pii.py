@@ -13,6 +13,9 @@ Offsets are code points, end exclusive. Null texts count as empty and have no sp
 each get their own result. An empty table gives an empty table. Columns of the input other than the
 id and the text are not read, so their names cannot clash.
 
+Spans are gathered in blocks of BLOCK matches and blocks are joined at the end, so that a text with very
+many of them costs in proportion to their number (an array that grows by one is copied each time).
+
 How a span gets its position without a UDF: `split` cuts a text at the matches of a pattern and
 `regexp_extract_all` returns the matches, so text = gap0 match0 gap1 match1 ...; lengths give the
 offsets. All patterns are written so that Java needs neither recursion nor a second pass over a run
@@ -23,6 +26,8 @@ character before a start been part of the run, the match would have started ther
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +66,22 @@ PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn":
 CONTEXT_BONUS = 0.2
 THRESHOLD = 0.5
 NEAR = 48  #: characters on either side in which context words count
+BLOCK = 256  #: matches folded at a time
+SPANS = "array<struct<start:int,ord:int,end:int,kind:string,score:double>>"
 IBAN_TAIL = 60  #: characters an IBAN may have after its first four, with blanks between
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """An array as an array of arrays of at most BLOCK items."""
+    last = lambda of: F.greatest(F.floor((F.size(of) - 1) / BLOCK).cast("int"), F.lit(0))
+    return _let(items, lambda of: F.transform(F.sequence(F.lit(0), last(of)), lambda b: F.slice(of, b * BLOCK + 1, F.lit(BLOCK))))
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -121,9 +139,9 @@ def _spans(kind: str, gaps: Column, matches: Column) -> Column:
     cut = lambda x: F.left(x, F.lit(reach))
     # What follows a match within reach lies in the next gaps and matches; a match has two characters at least.
     heads = F.transform(F.arrays_zip(F.slice(gaps, 2, F.size(matches)).alias("g"), F.slice(matches, 2, F.size(matches)).alias("m")), lambda x: F.concat(cut(x["g"]), F.coalesce(cut(x["m"]), F.lit(""))))
-    follow = F.transform(matches, lambda m, i: cut(F.array_join(F.slice(heads, i + 1, reach // 2 + 1), "")))
+    follow = _let(heads, lambda all_heads: F.transform(matches, lambda m, i: cut(F.array_join(F.slice(all_heads, i + 1, reach // 2 + 1), ""))))
     pieces = F.arrays_zip(gaps.alias("g"), matches.alias("m"), follow.alias("after"))
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,score:double>>")
+    none = F.array().cast(SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["g"])
@@ -154,7 +172,14 @@ def _spans(kind: str, gaps: Column, matches: Column) -> Column:
         return F.struct(upto.cast("int").alias("pos"), tail.alias("tail"), free.cast("int").alias("free"), out.alias("out"))
 
     pieces = F.filter(pieces, lambda x: x["m"].isNotNull())
-    folded = F.aggregate(pieces, F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.lit(0).alias("free"), none.alias("out")), step)["out"]
+    state = ("pos", "tail", "free")
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.lit(0).alias("free"), F.array().cast(f"array<{SPANS}>").alias("outs"))
+
+    def block(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(*(acc[c].alias(c) for c in state), none.alias("out")), step)
+        return _let(done, lambda r: F.struct(*(r[c].alias(c) for c in state), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+    folded = F.flatten(F.aggregate(_blocks(pieces), start, block)["outs"])
     return F.when(matches.isNull() | (F.size(matches) == 0), none).otherwise(folded)
 
 
@@ -181,15 +206,26 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Of overlapping spans the one that starts first is replaced; spans that begin inside it are not.
     """
     found = find_spans(docs, text)
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     t = text_of(text)
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("outs"))
+
+    def block(acc: Column, some: Column) -> Column:
+        """Spans are cut from the stretch of text that the block covers, not each from the whole text."""
+        upto = F.array_max(F.transform(some, lambda s: s["end"]))
+
+        def fold(stretch: Column) -> Column:
+            def step(own: Column, s: Column) -> Column:
+                piece = F.concat(F.substr(stretch, own["pos"] - acc["pos"] + 1, s["start"] - own["pos"]), F.lit("<"), s["kind"], F.lit(">"))
+                return F.when(s["start"] >= own["pos"], F.struct(s["end"].alias("pos"), F.concat(own["out"], F.array(piece)).alias("out"))).otherwise(own)
+
+            return F.aggregate(some, F.struct(acc["pos"].alias("pos"), F.array().cast("array<string>").alias("out")), step)
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substr(t, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("<"), s["kind"], F.lit(">"))
-        return F.when(s["start"] >= acc["pos"], F.struct(s["end"].alias("pos"), piece.alias("out"))).otherwise(acc)
+        done = _let(F.substr(t, acc["pos"] + 1, upto - acc["pos"]), fold)
+        return _let(done, lambda r: F.struct(F.coalesce(r["pos"], acc["pos"]).alias("pos"), F.concat(acc["outs"], F.array(F.array_join(r["out"], ""))).alias("outs")))
 
-    folded = F.aggregate("spans", start, step)
-    return found.withColumn("redacted", F.concat(folded["out"], F.substr(t, folded["pos"] + 1, F.length(t))))
+    folded = F.aggregate(_blocks(F.col("spans")), start, block)
+    whole = _let(folded, lambda r: F.concat(F.array_join(r["outs"], ""), F.substr(t, r["pos"] + 1, F.length(t))))
+    return found.withColumn("redacted", F.when(F.size("spans") == 0, t).otherwise(whole))
 
 
 def digest(docs: DataFrame) -> DataFrame:

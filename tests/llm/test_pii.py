@@ -109,3 +109,17 @@ def test_ibans_end_where_their_checksum_is_right(docs):
     texts = [f"{a} Please pay", f"to {b} BIC COBADEFF", f"{a} {b}", f"{b} {a}.", f"{a}x", f"{a[:-1]}1 Please", b, f"{b} 2 X"]
     got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "iban"] for r in find_spans(docs(texts)).collect()}
     assert got == {0: [a], 1: [b], 2: [a, b], 3: [b, a], 4: [], 5: [], 6: [b], 7: [b]}
+
+
+def test_a_text_of_very_many_matches_costs_in_proportion(docs):
+    """40,000 addresses and numbers in one text, against brute force and by the clock."""
+    import time
+
+    text = " ".join(f"a{i}@b{i}.org 10.0.{i % 256}.{i % 200}" for i in range(20_000))
+    start = time.time()
+    row = digest(docs([text])).first()
+    assert time.time() - start < 60
+    coded = ",".join(f"{k}:{s}:{e}" for k, s, e in base_spans(text))
+    assert (row.n_email, row.n_ip) == (20_000, 20_000) and row.spans == coded
+    few = " ".join(f"a{i}@b.org, SSN 123-45-6789;" for i in range(700))
+    assert [r.redacted for r in redact(docs([few])).collect()] == ["<email>, SSN <ssn>; " * 699 + "<email>, SSN <ssn>;"]
