@@ -1,7 +1,8 @@
 r"""WARC derivatives: response records become linked metadata and plain-text conversion records.
 
 A response row has record_id, target_uri, warc_date, status_line, http_headers (lines with \r\n) and
-payload (the body as text). From each, `derive` makes
+payload (the body, as bytes or as text), and may have block_digest and payload_digest, the digests its
+source stated. From each, `derive` makes
 
 * a metadata record (application/warc-fields): the source's status line and headers, its digests,
   title, language and number of links, WARC-Refers-To the response;
@@ -16,7 +17,8 @@ Null payloads count as empty (an empty body is still a response, and has an empt
 null target or id becomes an empty header and stays null in its own column. Repeated rows give
 repeated records. Empty tables give empty tables. Other columns are not read.
 
-`records_of` and `serialised` read and write WARC files (plain or gzip, a member per record).
+`records_of` and `serialised` read and write WARC files (plain or gzip, a member per record). A file is
+inflated as its records are read, in time proportional to its size; bodies stay bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import BATCH_BYTES, lean, text_of
 
 CRLF = "\r\n"
 #: The date of pages that carry none.
@@ -74,6 +76,13 @@ def _digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
 
+def _decoded(body: Column, headers: Column) -> Column:
+    """The body as text by the charset that the headers name."""
+    charset = F.lower(F.regexp_extract(headers, r"""(?im)^content-type:[^\r\n]*charset=["']?([A-Za-z0-9_.:-]+)""", 1))
+    latin = charset.isin("iso-8859-1", "iso8859-1", "latin1", "latin-1", "us-ascii", "ascii", "windows-1252", "cp1252")
+    return F.when(latin, F.decode(body, "ISO-8859-1")).otherwise(F.make_valid_utf8(body.cast("string")))
+
+
 def plain_text(html: Column) -> Column:
     out = html
     for pattern, replacement in TO_TEXT:
@@ -87,19 +96,24 @@ def plain_text(html: Column) -> Column:
 def derive(responses: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Metadata and conversion records, two rows for a textual response and one for any other."""
     kind = F.lower(F.regexp_extract("http_headers", r"(?im)^content-type:[ \t]*([^;\r\n]*)", 1))
+    as_bytes = responses.schema["payload"].dataType.simpleString() == "binary"
+    stated = {c: F.col(c).cast("string") if c in responses.columns else F.lit(None).cast("string") for c in ("block_digest", "payload_digest")}
     source = responses.select(
         F.col(id_col).alias("id"),
+        stated["block_digest"].alias("stated_block_digest"),
+        stated["payload_digest"].alias("stated_payload_digest"),
         "record_id",
         "target_uri",
         "warc_date",
         F.coalesce("status_line", F.lit("")).alias("status_line"),
         F.coalesce("http_headers", F.lit("")).alias("source_headers"),
-        text_of("payload").alias("payload"),
+        (F.coalesce("payload", F.lit(b"")) if as_bytes else text_of("payload").cast("binary")).alias("raw"),
+        (_decoded(F.coalesce("payload", F.lit(b"")), F.coalesce("http_headers", F.lit(""))) if as_bytes else text_of("payload")).alias("payload"),
         F.coalesce(kind, F.lit("")).alias("media"),
-    ).withColumn("source_block", F.concat("status_line", F.lit(CRLF), "source_headers", F.lit(CRLF), "payload"))
+    ).withColumn("source_block", F.concat(F.concat("status_line", F.lit(CRLF), "source_headers", F.lit(CRLF)).cast("binary"), "raw"))
     facts = source.select(
         "*",
-        _digest(F.col("payload")).alias("payload_digest"),
+        _digest(F.col("raw")).alias("payload_digest"),
         _digest(F.col("source_block")).alias("response_digest"),
         F.when(F.trim("media").isin("text/html", "application/xhtml+xml"), plain_text(F.col("payload"))).when(F.trim("media").startswith("text/"), F.col("payload")).alias("plain"),
         F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\r\n\f]+", " ").alias("title"),
@@ -107,7 +121,7 @@ def derive(responses: DataFrame, id_col: str = "page_id") -> DataFrame:
         F.size(F.regexp_extract_all("payload", F.lit(LINK), F.lit(0))).alias("links"),
         _uuid(F.concat(F.lit("metadata|"), F.coalesce("record_id", F.lit("")))).alias("metadata_id"),
         _uuid(F.concat(F.lit("conversion|"), F.coalesce("record_id", F.lit("")))).alias("conversion_id"),
-    ).drop("payload", "source_block")
+    ).drop("payload", "raw", "source_block")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     described = F.concat(
         line("source-status", F.col("status_line")),
@@ -125,6 +139,8 @@ def derive(responses: DataFrame, id_col: str = "page_id") -> DataFrame:
         "warc_date",
         "source_headers",
         "payload_digest",
+        "stated_block_digest",
+        "stated_payload_digest",
         F.inline(
             F.filter(
                 F.array(
@@ -147,6 +163,8 @@ def derive(responses: DataFrame, id_col: str = "page_id") -> DataFrame:
         F.octet_length("block").cast("long").alias("content_length"),
         _digest(F.col("block")).alias("block_digest"),
         F.col("payload_digest").alias("source_payload_digest"),
+        "stated_block_digest",
+        "stated_payload_digest",
         "source_headers",
         "block",
     )
@@ -183,7 +201,8 @@ def oracle() -> str:
           UNION ALL
           SELECT page_id, conversion_id, 'conversion', response_id, metadata_id, url, 'text/plain; charset=utf-8', payload_digest, source_headers, plain FROM f)
     SELECT page_id, record_id, warc_type, refers_to, concurrent_to, target_uri, '{NO_DATE}' AS warc_date, content_type,
-           strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest AS source_payload_digest, source_headers, block FROM r
+           strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest AS source_payload_digest,
+           NULL::VARCHAR AS stated_block_digest, NULL::VARCHAR AS stated_payload_digest, source_headers, block FROM r
     """
 
 
@@ -207,54 +226,105 @@ def serialised(record: dict) -> bytes:
     return f"WARC/1.1{CRLF}{head}Content-Length: {len(block)}{CRLF}{CRLF}".encode() + block + (CRLF * 2).encode()
 
 
+class Inflated:
+    """The bytes of a WARC file, plain or gzip, from front to back; what was read is let go."""
+
+    STEP = 1 << 16
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.start = memoryview(data), 0, bytearray(), 0
+        self.member = zlib.decompressobj(31) if bytes(data[:2]) == b"\x1f\x8b" else None
+
+    def _more(self) -> bool:
+        """Another step of bytes, if there are any."""
+        if self.at >= len(self.data):
+            return False
+        step = self.data[self.at : self.at + self.STEP]
+        self.at += len(step)
+        if self.start > self.STEP:
+            del self.held[: self.start]
+            self.start = 0
+        if self.member is None:
+            self.held += step
+            return True
+        self.held += self.member.decompress(step)
+        if self.member.eof:
+            # What follows the member within this step is the next one's.
+            self.at -= len(self.member.unused_data)
+            self.member = zlib.decompressobj(31)
+        return True
+
+    def find(self, mark: bytes, begin: int = 0) -> int:
+        """How far ahead the mark is, or -1; from `begin` ahead."""
+        while True:
+            found = self.held.find(mark, self.start + begin)
+            if found >= 0:
+                return found - self.start
+            begin = max(begin, len(self.held) - self.start - len(mark) + 1)
+            if not self._more():
+                return -1
+
+    def take(self, size: int) -> bytes | None:
+        """The next `size` bytes, or None if the file ends before."""
+        while len(self.held) - self.start < size:
+            if not self._more():
+                return None
+        out = bytes(self.held[self.start : self.start + size])
+        self.start += size
+        return out
+
+
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of a WARC file; a cut-off last record is left out."""
-    if data[:2] == b"\x1f\x8b":
-        out = bytearray()
-        while data:
-            member = zlib.decompressobj(31)
-            out += member.decompress(data)
-            data = member.unused_data if member.eof else b""
-        data = bytes(out)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
-        headers = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("content-length", "0"))
-        if end + 4 + size > len(data):
-            return
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+    """(headers with lower-case names, block) of each record of a WARC file, one by one; a cut-off last record is left out."""
+    source = Inflated(data)
+    try:
+        while (ahead := source.find(b"WARC/")) >= 0:
+            source.take(ahead)
+            end = source.find(b"\r\n\r\n")
+            if end < 0:
+                return
+            lines = source.take(end + 4)[:-4].decode("utf-8", "replace").split(CRLF)[1:]
+            headers = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines)}
+            block = source.take(int(headers.get("content-length", "0")))
+            if block is None:
+                return
+            yield headers, block
+    except zlib.error:  # the file was cut off, or is damaged from here on
+        return
 
 
 def read_responses(spark, path: str) -> DataFrame:
-    """Response rows of the WARC files under path (one task per file; a file is read once, record by record)."""
+    """Response rows of the WARC files under path, bodies as bytes (a task takes a file, of under 2 GB, and inflates it record by record)."""
 
     def run(frames):
         import pyarrow as pa
 
+        kinds = [pa.binary() if c == "payload" else pa.string() for c in FIELDS]
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], FIELDS)
+
         for batch in frames:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                for k, (headers, block) in enumerate(records_of(content)):
+            for i in range(batch.num_rows):
+                name, rows, size = batch.column(0)[i].as_py(), [], 0
+                for k, (headers, block) in enumerate(records_of(batch.column(1)[i].as_buffer())):
                     if headers.get("warc-type") == "response":
                         head, _, body = block.partition(b"\r\n\r\n")
                         status, _, lines = head.decode("utf-8", "replace").partition(CRLF)
-                        rows.append((f"{name}#{k}", headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("warc-date"), status, lines + CRLF if lines else "", body.decode("utf-8", "replace")))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], FIELDS)
-                        rows = []
+                        own = (headers.get(n) for n in ("warc-record-id", "warc-target-uri", "warc-date"))
+                        rows.append((f"{name}#{k}", *own, status, lines + CRLF if lines else "", body, headers.get("warc-block-digest"), headers.get("warc-payload-digest")))
+                        size += len(body)
+                    if len(rows) == 256 or size > BATCH_BYTES:
+                        yield out(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], FIELDS)
+                    yield out(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, ", ".join(f"{c} string" for c in FIELDS))
+    files = lean(spark).read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'payload' else 'string'}" for c in FIELDS))
 
 
-FIELDS = ["position", "record_id", "target_uri", "warc_date", "status_line", "http_headers", "payload"]
+FIELDS = ["position", "record_id", "target_uri", "warc_date", "status_line", "http_headers", "payload", "block_digest", "payload_digest"]
 
 
 def write_files(records: DataFrame, path: str) -> DataFrame:

@@ -64,8 +64,45 @@ def test_files_round_trip(spark, tmp_path, compressed):
     data = b"".join(gzip.compress(p) for p in parts) if compressed else b"".join(parts)
     (tmp_path / "x.warc").write_bytes(data + (b"" if compressed else b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut off"))
     read = warc.read_responses(spark, str(tmp_path / "x.warc"))
-    assert sorted((r.record_id, r.target_uri, r.status_line, r.http_headers, r.payload) for r in read.collect()) == sorted((r.record_id, r.target_uri, r.status_line, r.http_headers, r.payload) for r in responses)
+    assert sorted((r.record_id, r.target_uri, r.status_line, r.http_headers, bytes(r.payload).decode()) for r in read.collect()) == sorted((r.record_id, r.target_uri, r.status_line, r.http_headers, r.payload) for r in responses)
     records = warc.derive(read, id_col="position")
-    out = warc.write_files(records.drop("position", "content_length", "source_headers"), str(tmp_path / "out"))
+    out = warc.write_files(records.drop("position", "content_length", "source_headers", "stated_block_digest", "stated_payload_digest"), str(tmp_path / "out"))
     back = [rec for row in out.collect() for rec in warc.records_of(bytes(row.content))]
     assert sorted((h["warc-type"], h["warc-refers-to"], b.decode()) for h, b in back) == sorted((r.warc_type, r.refers_to, r.block) for r in records.collect())
+
+
+def record(number, body, headers="Content-Type: text/html; charset=utf-8\r\n", stated=""):
+    http = b"HTTP/1.1 200 OK\r\n" + headers.encode() + b"\r\n" + body
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{number}>\r\n{stated}Content-Length: {len(http)}\r\n\r\n"
+    return head.encode() + http + b"\r\n\r\n"
+
+
+def test_many_members_take_linear_time():
+    import time
+
+    body = b"<p>" + b"word " * 400 + b"</p>"
+    data = b"".join(gzip.compress(record(i, body + str(i).encode()), 1) for i in range(20_000))
+    start = time.time()
+    blocks = [b for _, b in warc.records_of(data)]
+    assert time.time() - start < 20
+    assert len(blocks) == 20_000 and all(b.endswith(str(i).encode()) for i, b in enumerate(blocks))
+    assert sum(1 for _ in warc.records_of(data[:-40])) == 19_999
+
+
+def test_bodies_stay_bytes_and_stated_digests_are_carried(spark, tmp_path):
+    latin, broken = "<p>caf\u00e9 \u00fc</p>".encode("latin-1"), b"<p>ok \xff\xfe</p>"
+    sha1 = "sha1:" + "A" * 32
+    parts = [
+        record(1, latin, "Content-Type: text/html; charset=ISO-8859-1\r\n", f"WARC-Payload-Digest: {sha1}\r\nWARC-Block-Digest: sha1:B\r\n"),
+        record(2, broken),
+        record(3, "<p>\u4e2d</p>".encode(), 'content-type: text/html;charset="UTF-8"\r\n'),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    rows = warc.derive(warc.read_responses(spark, str(tmp_path / "x.warc.gz")), id_col="position").where("warc_type = 'conversion'").collect()
+    sha = lambda b: "sha256:" + hashlib.sha256(b).hexdigest()
+    found = {r.refers_to[10:-1]: (r.block, r.source_payload_digest, r.stated_payload_digest, r.stated_block_digest) for r in rows}
+    assert found == {
+        "1": ("caf\u00e9 \u00fc", sha(latin), sha1, "sha1:B"),
+        "2": ("ok \ufffd\ufffd", sha(broken), None, None),
+        "3": ("\u4e2d", sha("<p>\u4e2d</p>".encode()), None, None),
+    }
