@@ -14,9 +14,12 @@ def rows(df):
 
 
 def brute_best(text, templates, frequency, texts, threshold=0.8):
-    weight = lambda w: math.log((texts + 1) / (frequency.get(w, 0) + 1)) + 1
+    names = {n for n, _ in templates}
+    holders = lambda w: len({n for n, t in templates if w in licenses.words_of(t)})
+    tells = {w: math.log((len(names) + 1) / (holders(w) + 1)) + 1 for _, t in templates for w in licenses.words_of(t)}
+    weight = lambda w: (math.log((texts + 1) / (frequency.get(w, 0) + 1)) + 1) * tells.get(w, math.log(len(names) + 1) + 1)
     vector = lambda ws: {w: n * weight(w) for w, n in Counter(ws).items()}
-    words, best = licenses.words_of(text), None
+    words, found = licenses.words_of(text), []
     for name, t in templates:
         v = vector(licenses.words_of(t))
         size = len(licenses.words_of(t))
@@ -25,9 +28,13 @@ def brute_best(text, templates, frequency, texts, threshold=0.8):
             if not u:
                 continue
             cosine = sum(x * v[w] for w, x in u.items() if w in v) / math.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values()))
-            if cosine >= threshold and (best is None or cosine > best[1] + 1e-12):
-                best = (name, cosine, s)
-    return best
+            if cosine >= threshold:
+                found.append((name, cosine, s, s + size))
+    best = next((x for x in found if x[1] >= max(c for _, c, _, _ in found) - 1e-12), None)
+    margin = licenses.MARGIN if best and best[1] < 1 - 1e-9 else 1e-9
+    if best and any(n != best[0] and c > best[1] - margin and a < best[3] and best[2] < z for n, c, a, z in found):
+        return None
+    return best and best[:3]
 
 
 TEXTS = [
@@ -75,3 +82,33 @@ def test_odd_rows_and_empty_table(odd, empty):
     assert found.count() == odd.count()
     assert found.where("own_licence IS NOT NULL").count() == 0
     assert licenses.scan(licenses.paths_of(empty)).count() == 0
+
+
+WHOLE = {
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\nCopyright (C) 2007 Free Software Foundation\nPreamble\nThe GNU Affero General Public License is a free, copyleft license ... specifically designed to ensure cooperation. You may link it with work under the GNU General Public License, version 3.",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nThis version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nEveryone is permitted to copy and distribute verbatim copies",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY",
+    "BSD-3-Clause": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "GPL-2.0": "// SPDX-License-Identifier: GPL-2.0-only",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "Apache-2.0": "/* Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License. */",
+}
+#: Neither named wrongly nor guessed: close to several licences, or to none.
+UNSURE = ["Licensed under CC BY-XX 4.0.", "SPDX-License-Identifier: Foo-1.0", "This work is licensed under the GNU General Public License, version 4."]
+
+
+@pytest.mark.parametrize("filler", [0, 5000])
+def test_families_are_told_apart_or_refused(filler):
+    """With equal frequencies, and in a corpus where ordinary words are common."""
+    vocabulary = {w for _, t in licenses.TEMPLATES for w in licenses.words_of(t)}
+    common = {"this", "the", "of", "and", "to", "in", "is", "or", "for", "with", "by", "as", "2", "3", "4.0", "version"}
+    matcher = licenses.Matcher(licenses.TEMPLATES, {w: filler if w in common else 0 for w in vocabulary}, 2 * filler)
+    assert {k: (matcher.best(f"x = 1\n{t}\ny = 2") or [None])[0] for k, t in WHOLE.items()} == {k: k for k in WHOLE}
+    assert [matcher.best(t) for t in UNSURE] == [None] * len(UNSURE)
+    for name, text in licenses.TEMPLATES:
+        assert matcher.best(f"a b {text} c d")[0] == name, text
