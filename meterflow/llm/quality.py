@@ -125,6 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
     marks = marks.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     chosen = marks.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(sample)
     chosen = F.broadcast(written(chosen, "labels"))  # at most `sample` rows
+    chosen = chosen.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     texts = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").select("turn", "doc_id", "label", "text")
 
     def featurise(frames):
@@ -153,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
                 model.learn(places, values, label)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
-    one = texts.mapInArrow(featurise, "turn long, doc_id long, label int, places array<int>, values array<float>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    one = texts.mapInArrow(featurise, f"turn long, doc_id {kind}, label int, places array<int>, values array<float>")
     # At most `sample` rows meet in one task; the exchange keeps the scan of all documents on all tasks.
     rows = one.repartition(1).mapInArrow(fit, "weights binary").collect()  # one row of fixed size
     return np.frombuffer(bytes(rows[0][0]), np.float32) if rows else np.zeros(DIMENSIONS + 1, np.float32)

@@ -76,3 +76,67 @@ def test_stage_keeps_good_rows_with_all_columns(corpus):
     assert {i for i in ids if i % 3} == {i for i in range(900) if i % 3}
     assert len([i for i in ids if i % 3 == 0]) < 15
     assert {r.score for r in kept.collect()} == {"mine"}
+
+
+def brute_features(text):
+    """{place: value} in plain Python: tokens, pairs of tokens and runs of three shapes."""
+    import re
+
+    mask = 2**64 - 1
+    tokens = re.findall(r"\w+|[^\w\s]+", text)
+
+    def shape(t):
+        if t.isdigit():
+            return 3
+        if not (t[0].isalnum() or t[0] == "_"):
+            return 5
+        if t.islower():
+            return 0
+        if t.isupper() and len(t) > 1:
+            return 2
+        return 1 if t[0].isupper() and (len(t) == 1 or t[1:].islower()) else 4
+
+    h = [zlib.crc32(t.encode()) for t in tokens]
+    marks = [shape(t) + 7 * (i > 0 and t == tokens[i - 1]) for i, t in enumerate(tokens)]
+    groups = [
+        [x * 0x9E3779B97F4A7C15 & mask for x in h],
+        [((a * 0xC2B2AE3D27D4EB4F + b) & mask) * 0x9E3779B97F4A7C15 & mask for a, b in zip(h, h[1:])],
+        [((a * 14 + b) * 14 + c + 2**40) * 0x9E3779B97F4A7C15 & mask for a, b, c in zip(marks, marks[1:], marks[2:])],
+    ]
+    out = {}
+    for g in groups:
+        for place in set(p >> 46 for p in g):
+            out[place] = out.get(place, 0) + (sum(p >> 46 == place for p in g) / len(g)) ** 0.5
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_query_equals_brute_force_end_to_end(spark, kind):
+    """Features, fixed order of the sample, FTRL passes and scores, spelled out; ids of either type."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["Ab", "cd", "EF", "7", "!!", "gh", "cd"]) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    marks = {i: int("EF" in t) for i, t in enumerate(texts) if i % 4}
+    labels = spark.createDataFrame([(i, m, 0) for i, m in marks.items()], "doc_id long, quality int, toxic int").withColumn("doc_id", F.col("doc_id").cast(kind))
+    turn = {int(r.doc_id): r.t for r in table.select("doc_id", F.xxhash64("doc_id").alias("t")).collect()}
+    chosen = sorted((i for i in marks if zlib.crc32(str(i).encode()) % 5), key=turn.get)
+    z, n = {}, {}
+
+    def weight(k):
+        a = z.get(k, 0.0)
+        return 0.0 if abs(a) <= quality.L1 else -(a - (1 if a > 0 else -1) * quality.L1) / ((quality.BETA + n.get(k, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    features = [brute_features(t) | {"b": 1.0} for t in texts]
+    for _ in range(quality.PASSES):
+        for i in chosen:
+            w = {k: weight(k) for k in features[i]}
+            g = sigmoid(sum(w[k] * x for k, x in features[i].items())) - marks[i]
+            for k, x in features[i].items():
+                old, step = n.get(k, 0.0), g * x
+                z[k] = z.get(k, 0.0) + step - ((old + step * step) ** 0.5 - old**0.5) / quality.ALPHA * w[k]
+                n[k] = old + step * step
+    want = {i: sigmoid(sum(weight(k) * x for k, x in f.items())) for i, f in enumerate(features)}
+    rows = quality.classify(table, labels).collect()
+    assert {int(r.doc_id): r.score for r in rows} == pytest.approx(want, abs=1e-5)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in rows)
