@@ -16,8 +16,13 @@ fewer shingles than the item is one shorter window, if it has enough to reach th
 4. Candidates are verified by the exact weighted similarity; shared shingles are compared word by
    word, not by hash. The best window (then the first) stands for a document and item.
 
-The benchmark is a stated query set: it goes to every task in blocks of at most BLOCK_BYTES of text,
-one pass over the documents for each block, so no broadcast grows with the benchmark.
+The benchmark is a stated query set: it goes to every task in blocks of at most BLOCK_BYTES of text. Each
+block is a job of its own over the documents, whose matches are written before the next one starts: a
+task has one Python worker and one block at a time, however large the benchmark is.
+
+What 0.8 over five-word shingles means: a changed word takes up to five shingles with it, so an item
+needs some 49 words to be found with one word changed inside, and 94 with two; changes near the ends or
+next to each other cost less. tests/llm/test_decontaminate.py holds the shares.
 
 Null texts and texts without words match nothing, nor do items without words; items that are equal
 all match. Repeated rows each get their matches. Empty tables give no match. Very long texts are read
@@ -29,12 +34,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, quoted, released
+from .common import lean, quoted, released, small, text_of, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -247,52 +253,61 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) + np.uint64(1)
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """keep... and `hits`: array<struct<item_id,start_word,end_word,similarity>>, for each row of docs."""
-    spark = lean(docs.sparkSession)
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The benchmark's items in parts of about block_bytes of text."""
     items = benchmark.select("item_id", F.col("text").alias("item")).where("item IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("item") + 32), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    kind = benchmark.schema["item_id"].dataType.simpleString()
+    parts = max(1, -(-total // block_bytes))
+    return [items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == b) if parts > 1 else items for b in range(parts)]
+
+
+def marked(docs: DataFrame, block: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+    """keep... and `hits`: array<struct<item_id,start_word,end_word,similarity>>, for each row of docs and the items of one block."""
+    spark = lean(docs.sparkSession)
+    kind = block.schema["item_id"].dataType.simpleString()
     hits_type = HITS.format(item=kind)
     # The text goes to Python once, even where it is one of the columns to keep.
     places = dict.fromkeys((*keep, text))
     types = {c: docs.schema[c].dataType.simpleString() for c in places}
     carried = "carried struct<" + ",".join(f"{quoted(c)}:{t}" for c, t in types.items()) + ">"
     at = list(places).index(text)
+    rows = block.orderBy("item_id", "item").collect()  # at most about block_bytes
+    shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
+    def run(frames):
+        import pyarrow as pa
+
+        released()
+        item_ids, texts = shared.value
+        index, hits_kind = Index(texts), None
+        for batch in frames:
+            found = [[{"item_id": item_ids[i], "start_word": a, "end_word": z, "similarity": s} for i, a, z, s in index.matches(t or "")] for t in batch.column(0).field(at).to_pylist()]
+            hits_kind = hits_kind or batch.column(1).type
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, hits_kind)], ["carried", "hits"])
+
     frame = docs.select(F.struct(*(F.col(quoted(c)) for c in places)).alias("carried"), F.array().cast(hits_type).alias("hits"))
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b)
-        rows = block.orderBy("item_id", "item").collect()  # at most about block_bytes
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-
-        def run(frames, shared=shared):
-            import pyarrow as pa
-
-            released()
-            item_ids, texts = shared.value
-            index = Index(texts)
-            for batch in frames:
-                found = [[{"item_id": item_ids[i], "start_word": a, "end_word": z, "similarity": s} for i, a, z, s in index.matches(t or "")] for t in batch.column(0).field(at).to_pylist()]
-                before = batch.column(1)
-                if any(found):
-                    both = [x + y for x, y in zip(before.to_pylist(), found, strict=True)]
-                    before = pa.array(both, before.type)
-                yield pa.RecordBatch.from_arrays([batch.column(0), before], ["carried", "hits"])
-
-        frame = frame.mapInArrow(run, f"{carried}, hits {hits_type}")
+    frame = frame.mapInArrow(run, f"{carried}, hits {hits_type}")
     return frame.select(*(F.col(f"carried.{quoted(c)}").alias(c) for c in keep), "hits")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, start_word, end_word, similarity) of each item found in each row of docs."""
-    return marked(docs, benchmark, ("doc_id",)).select("doc_id", F.inline("hits"))
+    blocks = _blocks(benchmark, block_bytes)
+    hits = lambda b: marked(docs, b, ("doc_id",)).select("doc_id", F.inline("hits"))
+    return hits(blocks[0]) if len(blocks) == 1 else reduce(DataFrame.unionByName, [written(hits(b), "hits") for b in blocks])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, in which no item was found."""
     own = docs.columns
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) > 1:
+        # Only what was found is written, a pass over the documents for each block; a row goes by its id and text.
+        slim = docs.select(F.col("doc_id").alias("__id"), text_of().alias("text"))
+        found = [written(marked(slim, b, ("__id", "text")).where(F.size("hits") > 0).select("__id", F.sha2("text", 256).alias("__sha")), "hits") for b in blocks]
+        gone = written(reduce(DataFrame.unionByName, found).distinct(), "contaminated")
+        return docs.join(small(gone, 100_000), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2(text_of(), 256) == F.col("__sha")), "left_anti")
     names = {c: f"__{i}" for i, c in enumerate(own)}
     plain = docs.select(*(F.col(quoted(c)).alias(n) for c, n in names.items()))
-    clean = marked(plain, benchmark, tuple(names.values()), text=names["text"]).where(F.size("hits") == 0)
+    clean = marked(plain, blocks[0], tuple(names.values()), text=names["text"]).where(F.size("hits") == 0)
     return clean.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -83,10 +83,11 @@ def test_query_in_one_block_and_in_many(spark, docs, items):
     table = docs([f"{sentence(rng.randint(0, 50))} {texts[i % 60]} {sentence(9)}" if i % 4 == 0 else sentence(60) for i in range(80)] + [None, ""])
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     one = rows(contaminated(table, bench))
-    import meterflow.llm.decontaminate as d
-
-    many = sorted((r.doc_id, h.item_id, h.start_word, h.end_word, h.similarity) for r in d.marked(table, bench, ("doc_id",), block_bytes=2000).collect() for h in r.hits)
-    assert one == many
+    many = contaminated(table, bench, block_bytes=2000)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert one == rows(many) and "MapInArrow" not in plan  # written, one block after the other
+    kept = rows(drop_contaminated(table, bench))
+    assert 0 < len(kept) < table.count() and kept == rows(drop_contaminated(table, bench, block_bytes=2000))
     assert {i for i, *_ in one} >= set(range(0, 80, 4))
     assert {902} <= {x[1] for x in one if x[1] in (3, 902)} or not any(x[1] == 3 for x in one)
     assert rows(contaminated(docs([]), bench)) == []
@@ -131,3 +132,28 @@ def test_documents_shorter_than_the_item_are_one_window(items):
             assert (i in got) == (best >= 0.8)
             assert i not in got or got[i][2] == pytest.approx(best) and got[i][1] <= len(words_of(text))
     assert near > 100
+
+
+def test_recall_by_words_changed():
+    """What five words and 0.8 find, by the item's words and the words changed in it: all that reaches 0.8, nothing else."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    shares = {}
+    for size in (20, 40, 60, 100):
+        texts = [" ".join(word() for _ in range(size)) for _ in range(40)]
+        index = Index(texts)
+        for edits in (0, 1, 2):
+            found = reach = 0
+            for i, item in enumerate(texts):
+                words = item.split()
+                for p in rng.sample(range(size), edits):
+                    words[p] = "changed"
+                text = f"{word()} {word()} {' '.join(words)} {word()}"
+                reach += brute(text, item) >= 0.8
+                found += any(m[0] == i for m in index.matches(text))
+            assert found == reach
+            shares[size, edits] = found / len(texts)
+    print(shares)
+    assert all(shares[size, 0] == 1 for size in (20, 40, 60, 100))
+    assert shares[60, 1] == shares[100, 1] == shares[100, 2] == 1
+    assert shares[20, 1] < 0.5 and shares[40, 2] < 0.2
