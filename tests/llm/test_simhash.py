@@ -191,3 +191,32 @@ def test_short_edited_pairs_are_all_found(docs):
         texts += [a, b]
     kept = {r.doc_id for r in drop_near_copies(docs(texts)).collect()}
     assert len(want) > 200 and set(range(len(texts))) - kept == want
+
+
+def test_what_everyone_has_is_no_reason_to_meet(docs, monkeypatch):
+    """A passage in all texts: its shingles leave the prefixes, so what is dealt grows with the texts, and no pair is lost."""
+    from pyspark.sql import functions as F
+
+    from meterflow.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "POSTING", 20)
+    dealt, links = [], near_copies.candidate_links
+
+    def counted(rows, *more):
+        postings = rows.select("row", F.explode("segments").alias("segment"))
+        dealt.append((postings.count(), postings.groupBy("segment").count().agg(F.max("count")).first()[0]))
+        return links(rows, *more)
+
+    monkeypatch.setattr(near_copies, "candidate_links", counted)
+    rng = random.Random(2)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    shared = " ".join(rng.choice(vocabulary) for _ in range(50))
+    text = lambda: f"{' '.join(rng.choice(vocabulary) for _ in range(rng.randint(40, 120)))} {shared}"
+    texts = [text() for _ in range(200)]
+    texts += [t.replace(" ", " extra ", 1) for t in texts[:15]] + [shared] * 3 + [shared + " a", shared + " b", "c " + shared]
+    for n in (100, len(texts)):
+        some = texts[-n:]
+        kept = sorted(r.doc_id for r in drop_near_copies(docs(some)).collect())
+        assert kept == sorted(near_brute(list(enumerate(some)))) and len(kept) < n
+    assert all(most <= 20 for _, most in dealt)
+    assert dealt[1][0] < 2.6 * dealt[0][0]
