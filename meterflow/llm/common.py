@@ -72,9 +72,14 @@ def text_of(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or the context's; where neither is set, a temporary one if all runs on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        own = spark._jsc.sc().getCheckpointDir()
+        at = own.get() if own.isDefined() else None
+    if not at:
+        if not re.match(r"local(\[|-cluster\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = getattr(shared_dir, "own", None)
         if at is None:
             at = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="meterflow-")
@@ -90,21 +95,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_drop, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def discard(df: DataFrame) -> None:
+    """Removes the files of what `written` gave, once nothing reads it any more; other frames are left alone."""
+    path = getattr(df, "written_at", None)
+    if path:
+        _drop(df.sparkSession, path)
 
-    def drop() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may already have ended
-            pass
 
-    atexit.register(drop)
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  at exit the session may already have ended
+        pass
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -119,7 +128,7 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 def lean(spark: SparkSession) -> SparkSession:
     """The session, with record batches bounded by bytes: ten thousand long texts at once would not fit a worker.
 
-    Tighter settings of the caller stay.
+    Tighter settings of the caller stay. The bounds stay set in the session: its plans read them when they run.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = int(re.sub("[^0-9]", "", spark.conf.get(key)) or 0)

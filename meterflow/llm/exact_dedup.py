@@ -13,9 +13,10 @@
 
 Every row gets keep_id (the largest id among equal texts), group_size, kept and text_sha256. Null
 texts count as empty texts and are equal to them. Rows whose id is null never win against others;
-if all ids of a group are null, keep_id is null and one row (any: they are the same but for other
-columns) counts as kept. Rows repeated with one id: each counts in group_size, one of them is kept.
-An empty table gives an empty table. Other columns are not read.
+if all ids of a group are null, keep_id is null. `kept` is whether a row has the id that stays: of rows
+repeated with that id (or of a group of null ids) each counts in group_size and each is marked, for no
+column read here tells them apart; `drop_exact_copies` leaves one of them. Texts that share an id are
+judged each by its own group. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations

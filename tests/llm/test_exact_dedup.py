@@ -76,3 +76,23 @@ def test_stage_drops_rows_by_id_and_text(docs, odd):
     table = docs(["copy", "copy", "alone", "other", "twin", "twin", "own"], [9, None, None, None, 1, 2, 1])
     assert sorted((r.doc_id or -1, r.text) for r in drop_exact_copies(table).collect()) == [(-1, "alone"), (-1, "other"), (1, "own"), (2, "twin"), (9, "copy")]
     assert [r.doc_id for r in drop_exact_copies(odd).where("text = 'no id'").collect()] == [None]
+
+
+def test_rows_repeated_with_the_id_that_stays_are_all_marked_and_one_is_left(docs):
+    table = docs(["a", "a", "a", "z", "z"], [4, 4, 1, None, None])
+    got = Counter((r.doc_id, r.keep_id, r.kept) for r in exact_groups(table).collect())
+    assert got == Counter({(4, 4, True): 2, (1, 4, False): 1, (None, None, True): 2})
+    assert Counter((r.doc_id, r.text) for r in drop_exact_copies(table).collect()) == Counter([(4, "a"), (None, "z")])
+
+
+def test_written_tables_go_to_the_shared_folder_and_can_be_dropped(spark, docs, tmp_path):
+    from pathlib import Path
+
+    from meterflow.llm.common import discard, shared_dir, written
+
+    table = written(docs(["a"]), "x")
+    place = Path(table.written_at.removeprefix("file://"))
+    assert table.written_at.startswith(shared_dir(spark)) and place.exists() and table.count() == 1
+    discard(docs(["b"]))
+    discard(table)
+    assert not place.exists()
