@@ -197,7 +197,7 @@ def monthly_bills(parts: DataFrame, coverage: DataFrame, plans: DataFrame, tarif
         F.upper("tdu").alias("utility"),
     )
     rates = tariff.select(F.upper("tdu").alias("utility"), "fixed_usd_month", "volumetric_ckwh")
-    rows = parts.join(coverage, ["meter_id", "month"]).join(F.broadcast(header.join(F.broadcast(rates), "utility", "left")), "plan_id")
+    rows = parts.join(coverage, ["meter_id", "month"]).join(header.join(rates, "utility", "left"), "plan_id")
     passes = F.col("passthrough")
     rows = rows.withColumns(
         {
@@ -283,7 +283,7 @@ def yearly(bills: DataFrame, plans: DataFrame) -> DataFrame:
         F.min("unpriced_first").alias("unpriced_first"),
         F.count(F.lit(1)).alias("months"),
     )
-    rows = sums.join(F.broadcast(fee), "plan_id").withColumn("first_year_net", F.col("bills") + F.col("fee"))
+    rows = sums.join(fee, "plan_id").withColumn("first_year_net", F.col("bills") + F.col("fee"))
     skip = F.when(F.col("unmatched") > 0, F.lit("no matching rate")).when(
         F.col("unpriced") > 0, F.concat(F.lit("no price for "), F.col("unpriced").cast("string"), F.lit(" intervals from "), F.date_format("unpriced_first", "yyyy-MM-dd HH:mm"))
     )
@@ -304,7 +304,7 @@ def yearly(bills: DataFrame, plans: DataFrame) -> DataFrame:
 def ranked(intervals: DataFrame, plans: DataFrame, tariff: DataFrame, prices: DataFrame | None = None, tz: str = LOCAL_TZ) -> tuple[DataFrame, DataFrame]:
     """(ranking per meter, skipped (plan_id, meter_id, reason)); costs equal to a millionth keep the plans' load order."""
     out = refused(plans)
-    allowed = plans.join(F.broadcast(out.select("id")), "id", "left_anti")
+    allowed = plans.join(out.select("id"), "id", "left_anti")
     years = yearly(simulated(intervals, allowed, tariff, prices, tz), allowed)
     by = Window.partitionBy("meter_id").orderBy(F.round("first_year_net", 6), "ord", "plan_id")
     best = years.where("skipped IS NULL").withColumn("rank", F.row_number().over(by)).drop("skipped")

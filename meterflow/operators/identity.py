@@ -83,22 +83,31 @@ def supersedes(synthetic: str, real: str) -> Column:
     )
 
 
-def brand_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (l, r structs) of one brand and term, by an equi-join on term and brand word.
+def _by_rarest_word(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(l, r) structs of rows equal in keys, where r's name has the rarest word of l's `need`.
 
-    If one brand's words are all among the other's, the two share a word, so blocking on single words
-    loses no pair; a pair that shares several comes out once.
+    A name that holds all the needed words holds that one too, so no such pair is lost, and words that
+    every name has are no reason to meet. Both sides should be distinct identities.
     """
-    exploded = lambda df, side: with_tokens(df).withColumn("word", F.explode("r_tokens")).select("term_months", "word", F.struct(*df.columns, "r_tokens", "name_words").alias(side))
-    pairs = exploded(left, "l").join(exploded(right, "r"), ["term_months", "word"]).where(same_brand(F.col("l.r_tokens"), F.col("r.r_tokens")))
-    # The first shared word stands for the pair.
-    return pairs.where(F.col("word") == F.array_min(F.array_intersect("l.r_tokens", "r.r_tokens"))).select("l", "r")
+    words = right.select(*keys, F.explode("name_words").alias("word"), F.struct(*right.columns).alias("r"))
+    often = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    asked = left.select(*keys, F.struct(*left.columns).alias("l"), F.explode("need").alias("word")).join(often, [*keys, "word"])
+    chosen = asked.groupBy(*keys, "l").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    return chosen.join(words, [*keys, "word"]).select("l", "r")
 
 
 def superseded(synthetic: DataFrame, real: DataFrame) -> DataFrame:
-    """(id, by): synthetic rows covered by a real one; of several the first by id."""
-    hits = brand_pairs(synthetic.select(*IDENTITY), real.select(*IDENTITY)).where(supersedes("l", "r"))
-    return hits.groupBy(F.col("l.id").alias("id")).agg(F.min("r.id").alias("by"))
+    """(id, by): synthetic rows covered by a real one; of several the first by id.
+
+    Distinct identities (term, words of brand and name) are compared, ids come back by an equi-join.
+    """
+    own = ["term_months", "r_tokens", "name_words"]
+    s = with_tokens(synthetic.select(*IDENTITY))
+    r = with_tokens(real.select(*IDENTITY)).groupBy(*own).agg(F.min("id").alias("by"))
+    need = s.select(*own).distinct().withColumn("need", F.array_except("name_words", F.array_union("r_tokens", _strings(["plan"]))))
+    hits = _by_rarest_word(need, r, ["term_months"]).where(supersedes("l", "r"))
+    covered = hits.groupBy(*(F.col(f"l.{c}").alias(c) for c in own)).agg(F.min("r.by").alias("by"))
+    return s.join(covered, own).select("id", "by")
 
 
 def supersede_actions(plans: DataFrame, drafts: DataFrame, delisted: DataFrame, current_id: str) -> DataFrame:
@@ -181,16 +190,22 @@ def pruned(synthetic: DataFrame, coverage: DataFrame) -> DataFrame:
     coverage: (retailer, name), names null for a retailer with none. The first retailer by name that
     is of the row's brand decides. A listed name's own term is compared; without one the row's.
     """
-    rows = with_tokens(synthetic.select(*IDENTITY)).alias("s")
-    shops = coverage.groupBy("retailer").agg(F.collect_set("name").alias("names")).withColumn("r_tokens", tokens(F.col("retailer")))
-    words = rows.withColumn("word", F.explode("r_tokens")).join(shops.withColumn("word", F.explode("r_tokens")).select("word", F.struct("retailer", "names", "r_tokens").alias("shop")), "word")
-    brand = words.where(same_brand(F.col("s.r_tokens"), F.col("shop.r_tokens")))
-    chosen = brand.groupBy("s.id").agg(F.min_by(F.struct("shop.retailer", "shop.names"), "shop.retailer").alias("shop"))
-    offers = rows.join(chosen, "id").select("id", "term_months", "r_tokens", "name_words", F.col("shop.retailer").alias("shop"), F.explode_outer("shop.names").alias("listed"))
-    l = F.struct(F.col("term_months"), F.col("r_tokens"), F.col("name_words"))  # noqa: E741
-    r = F.struct(F.coalesce(term_from_listed_name(F.col("listed")), F.col("term_months")).alias("term_months"), tokens(F.col("shop")).alias("r_tokens"), tokens(F.col("listed")).alias("name_words"))
-    tested = offers.select("id", "shop", l.alias("l"), r.alias("r")).select("id", "shop", F.coalesce(supersedes("l", "r"), F.lit(False)).alias("offered"))
-    return tested.groupBy("id", F.col("shop").alias("retailer")).agg(F.bool_or("offered").alias("offered")).where("NOT offered").drop("offered")
+    own = ["term_months", "r_tokens", "name_words"]
+    rows = with_tokens(synthetic.select(*IDENTITY))
+    shops = coverage.select("retailer").distinct().withColumn("shop_tokens", tokens(F.col("retailer")))
+    brands = rows.select("r_tokens").distinct()
+    words = brands.withColumn("word", F.explode("r_tokens")).join(shops.withColumn("word", F.explode("shop_tokens")), "word")
+    chosen = words.where(same_brand(F.col("r_tokens"), F.col("shop_tokens"))).groupBy("r_tokens").agg(F.min("retailer").alias("shop"))
+    sold = coverage.where("name IS NOT NULL").select(F.col("retailer").alias("shop"), "name").distinct()
+    sold = sold.select("shop", tokens(F.col("shop")).alias("r_tokens"), tokens(F.col("name")).alias("name_words"), term_from_listed_name(F.col("name")).alias("listed_term")).distinct()
+    mine = rows.select(*own).distinct().join(chosen, "r_tokens")
+    asked = mine.withColumn("need", F.array_except("name_words", F.array_union("r_tokens", _strings(["plan"]))))
+    pairs = _by_rarest_word(asked, sold, ["shop"])
+    # Without a term of its own a listed name has the row's.
+    listed = F.col("r").withField("term_months", F.coalesce("r.listed_term", "l.term_months"))
+    offered = pairs.select("l", listed.alias("r")).where(supersedes("l", "r")).select(*(F.col(f"l.{c}").alias(c) for c in own)).distinct()
+    match = [rows[c].eqNullSafe(offered[c]) for c in own]
+    return rows.join(offered, match, "left_anti").join(chosen, "r_tokens").select("id", F.col("shop").alias("retailer"))
 
 
 def still_listed(plans: DataFrame, listings: DataFrame) -> DataFrame:

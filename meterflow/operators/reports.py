@@ -12,7 +12,7 @@ from . import usage
 def summary(ranking: DataFrame, plans: DataFrame) -> DataFrame:
     """A row per ranked plan; a plan that is no longer in the catalogue keeps its figures under its id."""
     facts = plans.select(F.col("id").alias("plan_id"), "retailer", "name", "term_months", export_label(F.col("buyback")).alias("export"), etf_label(F.col("etf_usd"), F.col("etf_per_month_remaining")).alias("early_termination"), "needs_review")
-    rows = ranking.join(F.broadcast(facts), "plan_id", "left")
+    rows = ranking.join(facts, "plan_id", "left")
     return rows.select(
         "meter_id",
         "rank",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import checked
+
 COMPARISON_MONTHS = 12
 #: Words that carry no retailer identity.
 LEGAL_WORDS = ("llc", "inc", "lp", "dba")
@@ -18,7 +20,7 @@ def tariff_on(days: DataFrame, tariffs: DataFrame, day: str = "on") -> DataFrame
     """
     dated = tariffs.groupBy("tdu").agg(F.collect_list(F.struct("effective", "fixed_usd_month", "volumetric_ckwh")).alias("dated"))
     past = F.filter("dated", lambda t: t["effective"] <= F.col(day))
-    return days.join(F.broadcast(dated), "tdu", "left").withColumn("t", F.try_element_at(F.array_sort(past), F.lit(-1))).select(
+    return days.join(dated, "tdu", "left").withColumn("t", F.try_element_at(F.array_sort(past), F.lit(-1))).select(
         *days.columns, F.col("t.effective").alias("effective"), F.col("t.fixed_usd_month").alias("fixed_usd_month"), F.col("t.volumetric_ckwh").alias("volumetric_ckwh")
     )
 
@@ -39,11 +41,11 @@ def retailer_key(name: Column) -> Column:
 def histories_of(plans: DataFrame, histories: DataFrame) -> DataFrame:
     """(plan_id, history_ord, series): the first history that names the retailer by prefix and has the plan's utility.
 
-    histories: (history_ord, retailers, tdu map). Both sides are dimensions; the smaller is broadcast.
+    histories: (history_ord, retailers, tdu map). Both sides are dimensions; the histories are broadcast if their size allows.
     """
     names = histories.select("history_ord", F.col("tdu").alias("by_tdu"), F.explode("retailers").alias("name")).withColumn("key", retailer_key(F.col("name"))).where("key <> ''")
     wanted = plans.select(F.col("id").alias("plan_id"), retailer_key(F.col("retailer")).alias("own"), F.upper(F.coalesce("tdu", F.lit(""))).alias("utility"))
-    hits = wanted.join(F.broadcast(names), F.col("own").startswith(F.col("key"))).withColumn("series", F.try_element_at("by_tdu", F.col("utility")))
+    hits = wanted.join(checked(names), F.col("own").startswith(F.col("key"))).withColumn("series", F.try_element_at("by_tdu", F.col("utility")))
     return hits.where("size(series) > 0").groupBy("plan_id").agg(F.min_by(F.struct("history_ord", "series"), "history_ord").alias("h")).select("plan_id", "h.*")
 
 
@@ -62,7 +64,7 @@ def schedules(plans: DataFrame, months: DataFrame, histories: DataFrame) -> Data
     short = plans.where(rolls_over(plans)).select(F.col("id").alias("plan_id"), "term_months")
     found = short.join(histories_of(plans, histories), "plan_id", "left")
     ranked = months.withColumn("turn", F.dense_rank().over(Window.partitionBy("meter_id").orderBy("month")))
-    rows = ranked.join(F.broadcast(found))
+    rows = ranked.join(checked(found))
     later = F.col("turn") > F.col("term_months")
     day = F.to_date(F.concat("month", F.lit("-15")))
     return rows.select(

@@ -113,6 +113,20 @@ def deleted(plans: DataFrame, ids: DataFrame, current_id: str | None = None) ->
     return plans.join(gone.distinct(), "id", "left_anti")
 
 
+def renamed(plans: DataFrame, old: str, new: str, current_id: str | None = None) -> DataFrame:
+    """plans with one id changed; an id in use and the current plan's stay as they are."""
+    taken = plans.where(F.col("id") == new).agg(F.count(F.lit(1)).alias("n"))
+    allowed = (F.col("id") == old) & (F.lit(old) != F.lit(current_id or "")) & (F.col("n") == 0)
+    return plans.join(taken).withColumn("id", F.when(allowed, F.lit(new)).otherwise(F.col("id"))).drop("n")
+
+
+def demoted(plans: DataFrame, drafts: DataFrame, ids: DataFrame, current_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(plans, drafts): the given plans back among the drafts, under review; the current plan stays."""
+    gone = ids.select("id").distinct() if current_id is None else ids.select("id").distinct().where(F.col("id") != current_id)
+    back = plans.join(gone, "id", "left_semi").withColumn("needs_review", F.lit(True))
+    return plans.join(gone, "id", "left_anti"), drafts.join(back.select("id"), "id", "left_anti").unionByName(back, allowMissingColumns=True)
+
+
 def stale_first(plans: DataFrame, today: str, days: int = 90) -> DataFrame:
     """Plans whose data is old, or of unknown age from a seed report, before the others."""
     old = F.coalesce(F.datediff(F.lit(today).cast("date"), "retrieved") > days, F.col("source").startswith("report"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import billing as ops
 from ..operators import rollover, usage
+from ..operators.sizes import checked
 from ..plans import catalogue
 from . import adapters as a
 
@@ -81,7 +82,7 @@ def variable_rate_asof(spark, sf):
     """Each short plan's month-to-month rate on the 15th of every month; the earliest before the history starts."""
     months = a.table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct()
     series = rollover.histories_of(a.plans(spark), a.histories(spark))
-    return months.join(F.broadcast(series)).select("plan_id", "month", "history_ord", rollover.rate_on(F.col("series"), F.to_date(F.concat("month", F.lit("-15")))).alias("rate_ckwh"))
+    return months.join(checked(series)).select("plan_id", "month", "history_ord", rollover.rate_on(F.col("series"), F.to_date(F.concat("month", F.lit("-15")))).alias("rate_ckwh"))
 
 
 def _rolled(spark, sf):

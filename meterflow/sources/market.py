@@ -40,7 +40,7 @@ def index_rows(files: DataFrame) -> DataFrame:
     cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
     rows = rows.withColumn("cells", cells)
     heads = rows.groupBy("path", "section").agg(F.min_by("cells", "row").alias("header"), F.min("row").alias("first"))
-    rows = rows.join(F.broadcast(heads), ["path", "section"]).where((F.col("row") > F.col("first") + 1) & (F.size("cells") == F.size("header")))
+    rows = rows.join(heads, ["path", "section"]).where((F.col("row") > F.col("first") + 1) & (F.size("cells") == F.size("header")))
     cell = F.map_from_arrays("header", "cells")
     return rows.select("path", "row", "generated", F.trim("line").alias("raw_row"), *(F.try_element_at(cell, F.lit(h)).alias(f"c_{c}") for c, h in CELLS.items()))
 
@@ -73,7 +73,7 @@ def tidy_index(rows: DataFrame) -> DataFrame:
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     """The newest index under path."""
     latest = newest(listing(spark, path, "*.md", recursive=False)).select("name")
-    return tidy_index(index_rows(texts(spark, path, "*.md").join(F.broadcast(latest), "name", "left_semi")))
+    return tidy_index(index_rows(texts(spark, path, "*.md").join(latest, "name", "left_semi")))
 
 
 def filtered_index(index: DataFrame, tdu: str | None = "Oncor") -> DataFrame:

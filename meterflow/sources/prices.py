@@ -51,7 +51,7 @@ def missing_columns(files: DataFrame) -> DataFrame:
 def csv_prices(files: DataFrame) -> DataFrame:
     plain = lambda names: F.array(*(F.lit("".join(c for c in n.lower() if c.isalnum())) for n in names))
     flags = headers(files).select("path", F.arrays_overlap("header", plain(COLUMNS["repeated_hour_flag"])).alias("has_repeated_flag"), F.arrays_overlap("header", plain(COLUMNS["dst_flag"])).alias("has_dst_flag"))
-    return csv_rows(files, COLUMNS).join(F.broadcast(flags), "path")
+    return csv_rows(files, COLUMNS).join(flags, "path")
 
 
 def workbook_prices(spark: SparkSession, path: str) -> DataFrame:

@@ -178,3 +178,89 @@ def test_numbers_too_large_are_no_numbers(spark):
     text = f"Contract Term: {big} Months. Base Charge: ${big} per month. Energy Charge: {big} ¢ per kWh. A credit of ${big} when usage is at least 5 kWh. {big}:00 am to 5 pm"
     got = facts.drafts(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert len(got) == 1 and got[0].term_months == 12
+
+
+def read(spark, text, **more):
+    return facts.drafts(spark.createDataFrame([(1, text)], "doc_id long, text string"), **more).first()
+
+
+def test_rows_with_a_restricted_rate_become_rules(spark):
+    head = "Plan Name: Fir Drive\nDaytime Usage Charge EV Charging Usage Charge Base Charge Delivery Charge per month\n12.0¢/kWh 3.0¢/kWh $9.95 5.5¢/kWh $4.23\n"
+    got = read(spark, head + "EV charging hours are from 10:00 PM to 4:00 AM every night.")
+    assert [(r.rate_ckwh, r.hours, r.is_default) for r in got.energy_rates] == [(3.0, [22, 23, 0, 1, 2, 3], False), (12.0, [], True)]
+    assert got.base_charge_usd == 9.95
+    weekend = read(spark, head.replace("EV Charging", "Weekend"))
+    assert [(r.rate_ckwh, r.weekdays) for r in weekend.energy_rates] == [(3.0, [5, 6]), (12.0, [])]
+
+
+def test_brand_rows_with_nights(spark):
+    rows = "Sunny Day Energy Charge: 14.0 ¢ per kWh\nSunny Night Energy Charge: 4.0 ¢ per kWh\n"
+    got = read(spark, rows + "Night hours run from 8:00 PM to 5:00 AM.")
+    assert [(r.rate_ckwh, len(r.hours)) for r in got.energy_rates] == [(4.0, 9), (14.0, 0)] and got.confidence["energy_charge"] == 0.85
+    assert read(spark, rows).confidence["energy_charge"] == 0.5
+
+
+def test_rows_are_read_by_their_unit_when_letters_are_lost(spark):
+    got = read(spark, "nerg Charge 11.5¢ per kWh\nae Charge $19.95 per ill\nOncor Delivery Charge 5.5¢ per kWh")
+    assert (got.base_charge_usd, [r.rate_ckwh for r in got.energy_rates]) == (19.95, [11.5])
+    assert got.confidence["base_charge"] == got.confidence["energy_charge"] == 0.85
+
+
+def test_header_junk_is_left_out(spark):
+    got = read(spark, "Electricity Facts Label\nBy Phone: 800-555-0100 Alder Energy\nResidential Service => Alder Flat 12 DATE 1/2/2026\n")
+    assert (got.retailer, got.name) == ("Alder Energy", "Alder Flat 12")
+
+
+NO_SHEET_WORDS = (
+    ("Type of Product: Variable", lambda r: r.rate_type, "variable"),
+    ("not available to customers with rooftop solar panels", lambda r: r.excludes_solar, True),
+    ("Not available to homes with a Powerwall", lambda r: r.excludes_battery, True),
+    ("Alder Energy LLC (PUC No. 10234)", lambda r: r.retailer, "Alder Energy"),
+    ("Retailer: Foo Bar", lambda r: r.retailer, "Foo Bar"),
+)
+
+
+@pytest.mark.parametrize(("text", "field", "value"), NO_SHEET_WORDS)
+def test_single_statements_are_read(spark, text, field, value):
+    assert field(read(spark, text)) == value
+
+
+def test_searches_before_readers_change_no_row(spark, monkeypatch):
+    """Random pieces of sheets with and without the searches that spare the costly readers."""
+    import random
+
+    rng = random.Random(3)
+    pieces = [line for s in SHEETS for line in s.split("\n") if line] + [t for t, *_ in NO_SHEET_WORDS]
+    pieces += ["Home Charging Fee: $ 25 /month", "What are Eligible Hours for Unlimited Vehicle Charging? 12 am (midnight) - 6 am", "Nights Hours (9 PM - 6 AM) 3.0 ¢ / kWh", "ETF $150", "one-time activation $20", "• Energy Charge\n• TDU delivery", "Oncor 17.9¢ 17.9¢ 17.9¢", "All kWh 9.9¢", "Renewable Buyback 5 cents", "credit for Energy Charges resulting from energy consumed during the Free Hours", "$30 per month remaining"]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))) for _ in range(120)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda: sorted(map(repr, facts.drafts(table).select(*COMPARED).collect()))
+    with_searches = rows()
+    monkeypatch.setattr(facts, "gated", lambda text, need, value, otherwise=None: value if otherwise is None else F.coalesce(value, otherwise))
+    assert rows() == with_searches
+
+
+COMPARED = ("doc_id", "retailer", "name", "term_months", "rate_type", "base_charge_usd", "energy_rates", "buyback", "bill_credits", "tdu_ckwh", "tdu_usd_month", "tdu_passthrough", "etf_usd", "etf_per_month_remaining", "signup_fee_usd", "average_prices", "home_charging", "excludes_solar", "excludes_battery", "unpriceable_reason", "needs_review")
+
+
+def test_a_sheet_billed_end_to_end(spark):
+    """Free nights with delivery waived and a car allowance: a day of 1 kWh a quarter-hour, by hand."""
+    import datetime as dt
+
+    from meterflow.functions.clock import day_grid
+    from meterflow.operators import billing
+    from meterflow.plans import schema
+
+    sheet = SHEETS[1] + "\nHome Charging Fee: $ 25 /month /EV\nWhat are Eligible Hours for Unlimited Vehicle Charging? 10 am - 2 pm"
+    docs = spark.createDataFrame([(1, sheet)], "doc_id long, text string")
+    draft = facts.drafts(docs, car_kwh_month=10.0, charger_kw=11.0)
+    plan = facts.plan_rows(draft, "ONCOR").withColumn("ord", F.lit(0))
+    assert schema.violations(plan).count() == 0 and plan.first().base_charge_usd == 25.0
+    tariff = spark.createDataFrame([("ONCOR", dt.date(2024, 1, 1), 0.0, 5.0)], schema.TARIFF)
+    usage = spark.sql("SELECT DATE'2024-01-08' AS d").select(F.lit("m").alias("meter_id"), F.explode(day_grid(F.col("d"))).alias("ts"), F.lit(1.0).alias("import_kwh"), F.lit(0.0).alias("export_kwh"))
+    (m,) = billing.simulated(usage, plan, tariff).collect()
+    paid = 15 * 4  # hours outside 21:00 to 06:00
+    free = 10.0  # the allowance, less than the 16 kWh of its hours
+    assert m.energy_cost == pytest.approx((paid - free) * 0.189)
+    assert m.tdu_volumetric == pytest.approx(paid * 0.05)  # the add-on does not cover delivery, the nights do
+    assert m.base == pytest.approx(25.0 / 31)
