@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import billing, documents, identity, sources, usage
+from . import billing, documents, identity, records, sources, usage
 
-MODULES = (usage, billing, identity, documents, sources)
+MODULES = (usage, billing, identity, documents, sources, records)
 
 
 def queries() -> dict:
