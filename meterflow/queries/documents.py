@@ -95,15 +95,20 @@ def _sheets(spark):
     return spark.createDataFrame(list(enumerate(SHEETS)), "doc_id long, text string")
 
 
+def _read(spark, sf):
+    """Drafts of the sheets, and of the documents, which go through the same readers beside them."""
+    return facts.drafts(_sheets(spark).unionByName(_docs(spark, sf).select((F.col("doc_id") + 1000).alias("doc_id"), "text")))
+
+
 def fact_sheets(spark, sf):
-    """Fact sheets read whole; the documents go through the same readers beside them."""
-    both = _sheets(spark).unionByName(_docs(spark, sf).select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
-    read = facts.drafts(both)
+    """Fact sheets read whole."""
+    read = _read(spark, sf)
     return read.select("doc_id", "retailer", "name", "term_months", "base_charge_usd", F.to_json("energy_rates").alias("energy_rates"), F.col("buyback.kind").alias("buyback"), F.size("bill_credits").alias("credits"), "etf_usd", "signup_fee_usd", "unpriceable_reason", "needs_review")
 
 
 def text_confidence(spark, sf):
-    return facts.drafts(_sheets(spark)).select("doc_id", F.explode("confidence").alias("field", "confidence"))
+    """How sure each field of each sheet and document is."""
+    return _read(spark, sf).select("doc_id", F.explode("confidence").alias("field", "confidence"))
 
 
 def silent_wrong(spark, sf):
@@ -143,7 +148,27 @@ def _unescape(x: str) -> str:
 
 _STRIP = lambda x: f"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '[\\s]+', ' ', 'g'))"
 _CLEAN = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<svg\\b[^>]*>.*?</svg>', ' ', 'g')"
+_H1 = r"regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1)"
+_RULE = '{{"label":"{0}","rate_ckwh":{1},"hours":[{2}],"weekdays":[{3}],"is_default":{4},"tdu_exempt":{5}}}'
+_FLAT = lambda rate: "[" + _RULE.format("default", rate, "", "", "true", "false") + "]"
+#: What the sheets say, read by hand: a row each of fact_sheets, and the confidence of retailer, name, term, base charge, energy charge, buyback, termination fee and free window.
+_SAID = (
+    (0, "Alder Energy LLC", "Alder Flat 12", 12, 4.95, _FLAT(11.2), "none", 0, 20.0, 0.0, None, False),
+    (1, "Birch Energy LLC", "Birch Free Nights 24", 24, 0.0, "[" + _RULE.format("free", 0.0, "21,22,23,0,1,2,3,4,5", "", "false", "true") + "," + _RULE.format("default", 18.9, "", "", "true", "false") + "]", "none", 1, 0.0, 0.0, None, True),
+    (2, "Unknown Retailer", "Cedar Clock 12", 12, 9.95, "[" + _RULE.format("on-peak", 24.5, "16,17,18,19,20", "0,1,2,3,4", "false", "false") + "," + _RULE.format("off-peak", 9.1, "", "", "true", "false") + "]", "fixed", 0, 0.0, 0.0, None, True),
+    (3, "Unknown Retailer", "Dogwood Tiers 12", 12, 0.0, _FLAT(8.9), "none", 0, 0.0, 0.0, "usage tiers: 0 - 1000 kWh: 8.9¢; 1001 - 2000 kWh: 10.9¢", True),
+    (4, "Unknown Retailer", "Elm Real Time", 1, 9.13, _FLAT(10.5), "rtw", 0, 0.0, 49.99, None, True),
+    (5, "Unknown Retailer", "Unnamed Plan", 12, 0.0, "[]", "none", 0, 0.0, 0.0, None, True),
+)
+_SURE = ((0.75, 0.7, 0.95, 0.95, 0.95, 0.95, 0.9, 0.95), (0.8, 0.9, 0.95, 0.7, 0.95, 0.95, 0.0, 0.85), (0.0, 0.9, 0.85, 0.75, 0.85, 0.85, 0.0, 0.95), (0.0, 0.9, 0.0, 0.85, 0.95, 0.95, 0.0, 0.95), (0.0, 0.85, 0.9, 0.65, 0.95, 0.85, 0.0, 0.95), (0.0, 0.0, 0.0, 0.0, 0.0, 0.95, 0.0, 0.95))
+_SHEET_TYPES = {"doc_id": "BIGINT", "retailer": "VARCHAR", "name": "VARCHAR", "term_months": "INTEGER", "base_charge_usd": "DOUBLE", "energy_rates": "VARCHAR", "buyback": "VARCHAR", "credits": "INTEGER", "etf_usd": "DOUBLE", "signup_fee_usd": "DOUBLE", "unpriceable_reason": "VARCHAR", "needs_review": "BOOLEAN"}
+_FIELDS = ("retailer", "plan_name", "term_months", "base_charge", "energy_charge", "buyback", "etf", "free_window")
 ORACLE_SQL = {
+    # Prose says nothing of plans: documents have the defaults.
+    "fact_sheets": f"""WITH s AS ({a.values([dict(zip(_SHEET_TYPES, r, strict=True)) for r in _SAID], _SHEET_TYPES)}) SELECT * FROM s
+        UNION ALL SELECT d.doc_id + 1000, retailer, name, term_months, base_charge_usd, energy_rates, buyback, credits, etf_usd, signup_fee_usd, unpriceable_reason, needs_review FROM documents d, s WHERE s.doc_id = 5""",
+    "text_confidence": f"""WITH s AS ({a.values([{"doc_id": i, "field": f, "confidence": c} for i, row in enumerate(_SURE) for f, c in zip(_FIELDS, row, strict=True)], {"doc_id": "BIGINT", "field": "VARCHAR", "confidence": "DOUBLE"})}) SELECT * FROM s
+        UNION ALL SELECT d.doc_id + 1000, field, confidence FROM documents d, s WHERE s.doc_id = 5""",
     "text_money": r"""SELECT doc_id, try_cast(replace(nullif(regexp_extract(coalesce(text, ''), '([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+\.[0-9]{2})', 1), ''), ',', '') AS DOUBLE) AS amount, len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS numbers FROM documents""",
     "text_rate": "SELECT conv_id, turn, [12.5, 12.34, 9.9, NULL, 7.0, NULL][(conv_id + turn) % 6 + 1]::DOUBLE AS ckwh FROM conversations",
     "text_clock_range": """WITH o AS (SELECT o_orderkey, (o_orderkey % 12 + 1) % 12 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 12 END AS s, (o_custkey % 12 + 1) % 12 + CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE 12 END AS e, o_orderkey % 3 = 0 AS late FROM orders),
@@ -152,7 +177,7 @@ ORACLE_SQL = {
     "html_links": f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*\\bhref="([^"]*)"[^>]*>[^<]*</a>')) AS link, generate_subscripts(regexp_extract_all(html, '(?i)<a\\s[^>]*\\bhref="([^"]*)"[^>]*>[^<]*</a>'), 1) - 1 AS n FROM pages),
         h AS (SELECT *, regexp_extract(link, '(?i)\\bhref="([^"]*)"', 1) AS href FROM l)
         SELECT page_id, n::INTEGER AS n, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN 'https://example.com' || href ELSE 'https://example.com/plans/' || href END AS href, {_STRIP('link')} AS label FROM h""",
-    "html_headings": f"SELECT page_id, trim(regexp_replace(regexp_replace({_unescape(_STRIP(chr(114) + 'egexp_extract(html, ' + _Q('(?is)<h1' + chr(92) + 'b[^>]*>(.*?)</h1>') + ', 1)'))}, '[™®©]', '', 'g'), '[\\s]+', ' ', 'g')) AS heading FROM pages",
+    "html_headings": f"SELECT page_id, trim(regexp_replace(regexp_replace({_unescape(_STRIP(_H1))}, '[™®©]', '', 'g'), '[\\s]+', ' ', 'g')) AS heading FROM pages",
     "strip_tags": f"SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, {_STRIP(_CLEAN)} AS t FROM pages)",
     "url_parts": r"""SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages""",
     "silent_wrong": """WITH x AS (SELECT quality - CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END = quality AS ok, doc_id % 4 <> 0 AS sure FROM labels WHERE doc_id % 7 <> 0)

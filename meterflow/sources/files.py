@@ -40,28 +40,57 @@ def cells(line: Column) -> Column:
     return F.transform(found, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.substr(c, F.lit(2)), '^"|"$', ""), '""', '"')))
 
 
+def file_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, name, modified, row, line) of text files read by line: a large file is many tasks.
+
+    row orders the lines of a file: where the line's block starts plus its place among the task's lines.
+    Blocks before a file's last fill a task each and have no more lines than bytes, so a later block's
+    rows are always greater.
+    """
+    read = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    at = F.col("_metadata.file_path")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return read.select(
+        at.alias("path"),
+        F.element_at(F.split(at, "/"), -1).alias("name"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        (F.col("_metadata.file_block_start") + place).alias("row"),
+        F.regexp_replace("value", "^\ufeff", "").alias("line"),
+    )
+
+
+def _first_lines(files: DataFrame) -> DataFrame:
+    """(path, first) of whole texts or of lines."""
+    if "line" in files.columns:
+        return files.groupBy("path").agg(F.min_by("line", "row").alias("first"))
+    return files.select("path", F.element_at(F.split("text", "\r\n|\n|\r"), 1).alias("first"))
+
+
 def csv_rows(files: DataFrame, spellings: dict[str, list[str]]) -> DataFrame:
     """Rows of CSV files whose headers differ in spelling and order: (path, name, modified, row, one string column per canonical name).
 
-    A column a file lacks is null in its rows; the first header that spells a name wins.
+    files: whole texts (path, name, modified, text) or lines (file_lines). A column a file lacks is null
+    in its rows; the first header that spells a name wins. Of lines, repeats of the header are left out.
     """
-    parts = files.withColumn("all", F.split("text", "\r\n|\n|\r"))
-    heads = F.transform(cells(F.element_at("all", 1)), plain_name)
+    heads = F.transform(cells(F.col("first")), plain_name)
 
     def position(names: list[str]) -> Column:
         known = F.array(*(F.lit("".join(c for c in n.lower() if c.isascii() and c.isalnum())) for n in names))
         return F.coalesce(F.array_position(F.transform(heads, lambda h: F.array_contains(known, h)), True), F.lit(0))
 
-    at = {c: position(names) for c, names in spellings.items()}
-    parts = parts.select("path", "name", "modified", "all", *(x.cast("int").alias(f"_at_{c}") for c, x in at.items()))
-    rows = parts.select("path", "name", "modified", *(f"_at_{c}" for c in at), F.posexplode("all").alias("row", "line")).where("row > 0 AND trim(line) <> ''")
+    at = {c: position(names).cast("int").alias(f"_at_{c}") for c, names in spellings.items()}
+    columns = _first_lines(files).select("path", "first", *at.values())
+    rows = files if "line" in files.columns else lines(files).where("row > 0")
+    rows = rows.where("trim(line) <> ''").join(columns, "path")
+    if "line" in files.columns:
+        rows = rows.where(F.col("line") != F.col("first"))
     rows = rows.withColumn("cells", cells(F.col("line")))
     return rows.select("path", "name", "modified", "row", *(F.when(F.col(f"_at_{c}") > 0, F.try_element_at("cells", F.greatest(F.col(f"_at_{c}"), F.lit(1)))).alias(c) for c in at))
 
 
 def headers(files: DataFrame) -> DataFrame:
     """(path, header) the plain names of each file's header cells, in order."""
-    return files.select("path", F.transform(cells(F.element_at(F.split("text", "\r\n|\n|\r"), 1)), plain_name).alias("header"))
+    return _first_lines(files).select("path", F.transform(cells(F.col("first")), plain_name).alias("header"))
 
 
 def manifest(files: DataFrame) -> list[tuple[str, int, str]]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import LOCAL_TZ, day_grid, utc_of
 from ..operators import usage
-from .files import csv_rows, texts
+from .files import csv_rows, file_lines
 
 # Columns of the export and its channel labels.
 COLUMNS = {
@@ -88,4 +88,4 @@ def unknown_labels(rows: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, path: str, pattern: str = "IntervalData*.csv", tz: str = LOCAL_TZ) -> DataFrame:
     """The intervals of all exports under path."""
-    return intervals(readings(raw_rows(texts(spark, path, pattern)), tz))
+    return intervals(readings(raw_rows(file_lines(spark, path, pattern)), tz))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import LOCAL_TZ, utc_of
 from ..operators.prices import averaged
-from .files import csv_rows, headers, texts
+from .files import csv_rows, file_lines, headers
 
 # Spellings of price headers.
 COLUMNS = {
@@ -80,7 +80,7 @@ def workbook_prices(spark: SparkSession, path: str) -> DataFrame:
 
 def load(spark: SparkSession, path: str, zone: str = "LZ_SOUTH", tz: str = LOCAL_TZ) -> DataFrame:
     """One zone's price series from the CSV files under path: duplicates averaged."""
-    files = texts(spark, path, "*.csv")
+    files = file_lines(spark, path, "*.csv")
     bad = missing_columns(files).first()
     if bad:
         raise ValueError(f"{bad.path}: missing expected columns {bad.missing}")

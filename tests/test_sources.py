@@ -189,3 +189,26 @@ def test_clock(spark):
     assert [(r.a, r.m) for r in rows] == [(False, False), (True, False), (False, True)]
     assert [r.u for r in rows] == [dt.datetime(2025, 7, 1, 17), dt.datetime(2025, 11, 2, 7, 30), dt.datetime(2026, 3, 8, 8, 0)]
     assert [r.n for r in rows][1:] == [dt.datetime(2025, 11, 2, 6, 30), None]
+
+
+def test_files_read_by_line_in_many_tasks_keep_their_order(spark, tmp_path):
+    """A file cut into blocks, headers of two spellings, a byte-order mark: the same rows as from whole texts."""
+    rows = [f"{i},x{i},{'y' * (i % 7)}" for i in range(400)]
+    (tmp_path / "a.csv").write_text("\ufeffNo,Name,Rest\n" + "\n".join(rows) + "\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("name,NO\n" + "\n".join(f"z{i},{i}" for i in range(50)))
+    spelled = {"no": ["No"], "name": ["Name"], "rest": ["Rest"]}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        by_line = files.file_lines(spark, str(tmp_path), "*.csv")
+        assert by_line.rdd.getNumPartitions() > 5
+        got = files.csv_rows(by_line, spelled).collect()
+        heads = {r.path[-5:]: r.header for r in files.headers(by_line).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert heads == {"a.csv": ["no", "name", "rest"], "b.csv": ["name", "no"]}
+    for name in ("a.csv", "b.csv"):
+        mine = sorted((r.row, int(r.no)) for r in got if r.name == name)
+        assert [n for _, n in mine] == list(range(len(mine))) and len({r for r, _ in mine}) == len(mine)
+    whole = files.csv_rows(files.texts(spark, str(tmp_path), "*.csv"), spelled).collect()
+    assert sorted(repr((r.name, r.no, r.rest)) for r in got) == sorted(repr((r.name, r.no, r.rest)) for r in whole)
