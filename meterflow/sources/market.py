@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import market
 from .files import appended, lines, listing, newest, texts, with_neighbours
 
-# Sections of an index that list plans, and its header cells.
+# Sections of an index that list plans, its header cells, how its cells state rates and amounts, and the mark of JSON-LD.
 SECTIONS = ("Meter Plan Availability", "Competitor Plan Availability")
 CELLS = {"tdu": "TDU", "retailer": "Provider", "plan_name": "Plan", "term": "Term", "import": "Import rate", "export": "Export credit", "base": "Base fee", "etf": "Early termination fee", "source_url": "Source"}
 RATE = r"(?i)(\d+(?:\.\d+)?)\s*(?:¢|cents?)\s*/?\s*kWh"
 DOLLARS = r"\$\s*(\d+(?:\.\d+)?)"
+JSON_LD = r'(?is)<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script>'
+FACTS_LINK = "electricity facts label"
 OFFERS = "array<struct<`@id`:string,name:string,areaServed:array<struct<`@type`:string,name:string>>,additionalProperty:array<struct<name:string,value:string>>>>"
 
 
@@ -85,14 +87,14 @@ def offers(pages: DataFrame, tdu: str = "Oncor", html: str = "html", page: str =
 
     Blocks that are no JSON are skipped; an offer listed more than once counts once, the first.
     """
-    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r'(?is)<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(JSON_LD), F.lit(1))
     blocks = pages.select(F.col(page), F.posexplode(found).alias("block", "json"))
     # A block is an object or a list of them.
     text = F.when(F.startswith(F.trim("json"), F.lit("[")), F.col("json")).otherwise(F.concat(F.lit("["), "json", F.lit("]")))
     parsed = blocks.select(page, "block", F.posexplode(F.from_json(text, f"array<struct<itemListElement:{OFFERS}>>")).alias("doc", "d"))
     rows = parsed.select(page, "block", "doc", F.posexplode("d.itemListElement").alias("at", "o"))
     here = F.exists("o.areaServed", lambda a: (a["@type"] == "AdministrativeArea") & (F.lower(F.trim(a["name"])) == tdu.strip().lower()))
-    sheet = F.try_element_at(F.filter("o.additionalProperty", lambda p: F.contains(F.lower(p["name"]), F.lit("electricity facts label"))), F.lit(1))
+    sheet = F.try_element_at(F.filter("o.additionalProperty", lambda p: F.contains(F.lower(p["name"]), F.lit(FACTS_LINK))), F.lit(1))
     rows = rows.where(here).select(page, "block", "doc", "at", F.trim(F.regexp_replace(F.coalesce(F.col("o.`@id`"), F.col("o.name"), F.lit("")), "^#+", "")).alias("offer_id"), F.trim("o.name").alias("name"), F.trim(sheet["value"]).alias("efl_url"))
     rows = rows.where("offer_id <> '' AND coalesce(efl_url, '') <> ''")
     first = rows.groupBy(page, "offer_id").agg(F.min_by(F.struct("name", "efl_url"), F.struct("block", "doc", "at")).alias("r"))
