@@ -180,49 +180,58 @@ def test_numbers_too_large_are_no_numbers(spark):
     assert len(got) == 1 and got[0].term_months == 12
 
 
-def read(spark, text, **more):
-    return facts.drafts(spark.createDataFrame([(1, text)], "doc_id long, text string"), **more).first()
+RATES = "Plan Name: Fir Drive\nDaytime Usage Charge EV Charging Usage Charge Base Charge Delivery Charge per month\n12.0¢/kWh 3.0¢/kWh $9.95 5.5¢/kWh $4.23\n"
+BRAND_ROWS = "Sunny Day Energy Charge: 14.0 ¢ per kWh\nSunny Night Energy Charge: 4.0 ¢ per kWh\n"
+NO_SHEET_WORDS = (
+    ("Type of Product: Variable", lambda r: r.rate_type, "variable"),
+    ("not available to customers with rooftop solar panels", lambda r: r.excludes_solar, True),
+    ("Not available to homes with a Powerwall", lambda r: r.excludes_battery, True),
+    ("Alder Energy LLC (PUC No. 10234)", lambda r: r.retailer, "Alder Energy"),
+    ("Retailer: Foo Bar", lambda r: r.retailer, "Foo Bar"),
+)
+TEXTS = {
+    "restricted": RATES + "EV charging hours are from 10:00 PM to 4:00 AM every night.",
+    "weekend": RATES.replace("EV Charging", "Weekend"),
+    "nights": BRAND_ROWS + "Night hours run from 8:00 PM to 5:00 AM.",
+    "nights unsaid": BRAND_ROWS,
+    "lost letters": "nerg Charge 11.5¢ per kWh\nae Charge $19.95 per ill\nOncor Delivery Charge 5.5¢ per kWh",
+    "header": "Electricity Facts Label\nBy Phone: 800-555-0100 Alder Energy\nResidential Service => Alder Flat 12 DATE 1/2/2026\n",
+} | {t: t for t, _, _ in NO_SHEET_WORDS}
+
+
+@pytest.fixture(scope="module")
+def read(spark):
+    """Drafts of all TEXTS, made in one job."""
+    rows = facts.drafts(spark.createDataFrame(list(TEXTS.items()), "doc_id string, text string")).collect()
+    return {r.doc_id: r for r in rows}
 
 
-def test_rows_with_a_restricted_rate_become_rules(spark):
-    head = "Plan Name: Fir Drive\nDaytime Usage Charge EV Charging Usage Charge Base Charge Delivery Charge per month\n12.0¢/kWh 3.0¢/kWh $9.95 5.5¢/kWh $4.23\n"
-    got = read(spark, head + "EV charging hours are from 10:00 PM to 4:00 AM every night.")
+def test_rows_with_a_restricted_rate_become_rules(read):
+    got = read["restricted"]
     assert [(r.rate_ckwh, r.hours, r.is_default) for r in got.energy_rates] == [(3.0, [22, 23, 0, 1, 2, 3], False), (12.0, [], True)]
     assert got.base_charge_usd == 9.95
-    weekend = read(spark, head.replace("EV Charging", "Weekend"))
-    assert [(r.rate_ckwh, r.weekdays) for r in weekend.energy_rates] == [(3.0, [5, 6]), (12.0, [])]
+    assert [(r.rate_ckwh, r.weekdays) for r in read["weekend"].energy_rates] == [(3.0, [5, 6]), (12.0, [])]
 
 
-def test_brand_rows_with_nights(spark):
-    rows = "Sunny Day Energy Charge: 14.0 ¢ per kWh\nSunny Night Energy Charge: 4.0 ¢ per kWh\n"
-    got = read(spark, rows + "Night hours run from 8:00 PM to 5:00 AM.")
+def test_brand_rows_with_nights(read):
+    got = read["nights"]
     assert [(r.rate_ckwh, len(r.hours)) for r in got.energy_rates] == [(4.0, 9), (14.0, 0)] and got.confidence["energy_charge"] == 0.85
-    assert read(spark, rows).confidence["energy_charge"] == 0.5
+    assert read["nights unsaid"].confidence["energy_charge"] == 0.5
 
 
-def test_rows_are_read_by_their_unit_when_letters_are_lost(spark):
-    got = read(spark, "nerg Charge 11.5¢ per kWh\nae Charge $19.95 per ill\nOncor Delivery Charge 5.5¢ per kWh")
+def test_rows_are_read_by_their_unit_when_letters_are_lost(read):
+    got = read["lost letters"]
     assert (got.base_charge_usd, [r.rate_ckwh for r in got.energy_rates]) == (19.95, [11.5])
     assert got.confidence["base_charge"] == got.confidence["energy_charge"] == 0.85
 
 
-def test_header_junk_is_left_out(spark):
-    got = read(spark, "Electricity Facts Label\nBy Phone: 800-555-0100 Alder Energy\nResidential Service => Alder Flat 12 DATE 1/2/2026\n")
-    assert (got.retailer, got.name) == ("Alder Energy", "Alder Flat 12")
-
-
-NO_SHEET_WORDS = (
-    ("Type of Product: Variable", lambda r: r.rate_type, "variable"),
-    ("not available to customers with rooftop solar panels", lambda r: r.excludes_solar, True),
-    ("Not available to homes with a Powerwall", lambda r: r.excludes_battery, True),
-    ("Alder Energy LLC (PUC No. 10234)", lambda r: r.retailer, "Alder Energy"),
-    ("Retailer: Foo Bar", lambda r: r.retailer, "Foo Bar"),
-)
+def test_header_junk_is_left_out(read):
+    assert (read["header"].retailer, read["header"].name) == ("Alder Energy", "Alder Flat 12")
 
 
 @pytest.mark.parametrize(("text", "field", "value"), NO_SHEET_WORDS)
-def test_single_statements_are_read(spark, text, field, value):
-    assert field(read(spark, text)) == value
+def test_single_statements_are_read(read, text, field, value):
+    assert field(read[text]) == value
 
 
 def test_searches_before_readers_change_no_row(spark, monkeypatch):
@@ -232,7 +241,7 @@ def test_searches_before_readers_change_no_row(spark, monkeypatch):
     rng = random.Random(3)
     pieces = [line for s in SHEETS for line in s.split("\n") if line] + [t for t, *_ in NO_SHEET_WORDS]
     pieces += ["Home Charging Fee: $ 25 /month", "What are Eligible Hours for Unlimited Vehicle Charging? 12 am (midnight) - 6 am", "Nights Hours (9 PM - 6 AM) 3.0 ¢ / kWh", "ETF $150", "one-time activation $20", "• Energy Charge\n• TDU delivery", "Oncor 17.9¢ 17.9¢ 17.9¢", "All kWh 9.9¢", "Renewable Buyback 5 cents", "credit for Energy Charges resulting from energy consumed during the Free Hours", "$30 per month remaining"]
-    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))) for _ in range(120)]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))) for _ in range(60)]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = lambda: sorted(map(repr, facts.drafts(table).select(*COMPARED).collect()))
     with_searches = rows()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from meterflow.streaming import readings
 
 READ = "meter_id string, ts timestamp, import_kwh double, export_kwh double, modified timestamp"
@@ -45,3 +46,19 @@ def test_prices_join_late(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.import_kwh, r.price_usd_kwh) for r in spark.sql("SELECT * FROM priced").collect()] == [(1.0, 0.05)]
+
+
+def test_an_unreadable_table_is_never_overwritten(spark, tmp_path):
+    batch = spark.sql("SELECT 'm' AS meter_id, TIMESTAMP'2024-01-08 06:00:00' AS ts, 1.0D AS import_kwh, 0.0D AS export_kwh, 1 AS modified")
+    at = tmp_path / "table" / "month=2024-01"
+    at.mkdir(parents=True)
+    (at / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):  # noqa: B017  whatever Spark says of the file
+        readings.upserted(batch, str(tmp_path / "table"), spark)
+    assert (at / "part-0.parquet").read_bytes() == b"not parquet"
+
+
+def test_months_so_far_by_local_time(spark):
+    rows = spark.sql("SELECT 'm' AS meter_id, explode(array(TIMESTAMP'2024-02-01 05:45:00', TIMESTAMP'2024-02-01 06:00:00', TIMESTAMP'2024-02-01 06:15:00')) AS ts, 1.5D AS import_kwh, 0.5D AS export_kwh")
+    got = sorted(tuple(r) for r in readings.month_state(rows).collect())
+    assert got == [("m", "2024-01", 1.5, 0.5, 1), ("m", "2024-02", 3.0, 1.0, 2)]
