@@ -263,7 +263,9 @@ def test_a_sheet_billed_end_to_end(spark):
     sheet = SHEETS[1] + "\nHome Charging Fee: $ 25 /month /EV\nWhat are Eligible Hours for Unlimited Vehicle Charging? 10 am - 2 pm"
     docs = spark.createDataFrame([(1, sheet)], "doc_id long, text string")
     draft = facts.drafts(docs, car_kwh_month=10.0, charger_kw=11.0)
+    draft = spark.createDataFrame(draft.collect(), draft.schema)  # as a table of drafts would hold it
     plan = facts.plan_rows(draft, "ONCOR").withColumn("ord", F.lit(0))
+    plan = spark.createDataFrame(plan.collect(), plan.schema)
     assert schema.violations(plan).count() == 0 and plan.first().base_charge_usd == 25.0
     tariff = spark.createDataFrame([("ONCOR", dt.date(2024, 1, 1), 0.0, 5.0)], schema.TARIFF)
     usage = spark.sql("SELECT DATE'2024-01-08' AS d").select(F.lit("m").alias("meter_id"), F.explode(day_grid(F.col("d"))).alias("ts"), F.lit(1.0).alias("import_kwh"), F.lit(0.0).alias("export_kwh"))
