@@ -86,7 +86,7 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, so that a lost executor costs no earlier stage.
 
     Unlike cached or locally checkpointed blocks the files outlive executors. They are removed when
@@ -94,7 +94,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_drop, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path

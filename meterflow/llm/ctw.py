@@ -452,7 +452,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, heavy_words: int
     spark = lean(docs.sparkSession)
     frame = docs.select("doc_id", text_of().alias("text"), (~_training(docs, folds, held_fold)).alias("held_out"))
     training = frame.where("not held_out").select("text")
-    words = written(count_words(training), "words")
+    words = written(count_words(training), "words", "zstd")
     size = F.floor(F.log2("c") * 8)
     histogram = words.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words"), F.sum("c").alias("tokens")).collect()  # a few hundred rows
     n, v = sum(r.tokens for r in histogram), sum(r.words for r in histogram)
@@ -463,7 +463,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, heavy_words: int
         least, room = r.size, room - r.words
     heavy = words.where(size >= F.lit(least)).toArrow()  # at most heavy_words rows
     slices = min(1 << 16, max(slots(spark), (n or 0) // SLICE_WORDS))
-    grams = written(count_grams(training, slices), "grams")
+    grams = written(count_grams(training, slices), "grams", "zstd")
     shared = spark.sparkContext.broadcast((heavy.column(0).to_pylist(), heavy.column(1).to_numpy()))
 
     def run(frames):
@@ -533,7 +533,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, heavy_words: int
         run, f"row long, doc_id {kind}, held_out boolean, text string, n_tokens long, n_known long, known_log double, n_bytes long, rare array<struct<word:string,n:long>>, "
         "chunk long, wanted array<struct<slice:int,grams:binary>>",
     )
-    scored = written(scored, "scored")
+    scored = written(scored, "scored", "zstd")
 
     def meet(texts, found):
         import pyarrow as pa
