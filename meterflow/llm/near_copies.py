@@ -1,25 +1,26 @@
 """Near copies by SimHash, verified: similarity 0.8 or more over the sets of five-word shingles.
 
-At similarity 0.8 whole-document SimHashes differ in some ten of 64 bits, more than their eight
-positional bytes can guarantee a shared one for. So candidates come from a prefix filter:
-
-1. The distinct shingles of a text are ordered by their hash; a posting asks for each of the first
-   n - ceil(0.8 n) + 1 of n. Two texts within 0.8 share at least 0.8 of the larger one's shingles,
-   so the first shared shingle in this order is among the first of both: no pair is lost here. That
-   holds for any one order, so shingles that too many prefixes have (passages, licences, notices) are
-   moved to the end of it, and the prefixes that had them are taken anew, DEMOTIONS times at most: texts
-   no longer meet by what everyone has, unless they have little else.
-2. Within a posting, texts whose 128-bit SimHashes (over their distinct five-word shingles) differ in at most RADIUS
-   bits (SHORT_RADIUS, if one has under SHORT shingles), and whose numbers of shingles could allow
-   the similarity, are candidates: the distance is near 20 with a deviation near 4 at similarity 0.8
-   (near 24 in the shortest texts), and near 64 with one near 6 for texts that only
-   share a passage. Not the pairs leave the task but links that connect what the pairs connect, so a
-   posting of any size adds no more links than it has members.
-3. Components of the candidates are small clusters; in them every pair is verified by the exact
+1. A fingerprint per text over its distinct shingles: a SimHash of as many positional bytes as the
+   index asks for.
+2. Byte-position inverted index with count filtering. At similarity 0.8 some 15 of 100 bits differ, so
+   the eight bytes of a plain fingerprint guarantee no shared one; of more bytes, 27 of 100 are shared.
+   The bytes are taken two by two. A posting is the values of one such two: being in one is the tally of
+   shared positional bytes reaching two, within it. 185 of them leave a pair that is just at 0.8 a
+   chance of MISS to share none (three times that where the two have 25 shingles between them, the worst
+   of all sizes); at 0.85 it is below one in 10^9. Texts of under SHORT shingles, in which one shingle
+   sways more bits, have 379. Texts with nothing in common share a given posting once in 65,536 times,
+   and so do, nearly, texts that share a passage: no shingle is a key, however many texts have it.
+3. Within a posting, texts whose first 192 bits differ in no more than 5.5 deviations above what
+   similarity 0.8 gives (57 bits, 66 in short texts), and whose numbers of shingles could allow the
+   similarity, are candidates; unrelated texts differ in some 96. Not the pairs leave the task but
+   links that connect what the pairs connect, so a large posting adds no more links than it has members.
+4. Components of the candidates are small clusters; in them every pair is verified by the exact
    similarity, counted over the texts that hold each shingle, and again connecting links leave.
-4. Components of the verified links are the groups. The row with the smallest id stays (rows with
+5. Components of the verified links are the groups. The row with the smallest id stays (rows with
    null ids last).
 
+The numbers of postings and bits follow from the threshold, for other thresholds too.
+
 Postings above POSTING rows and clusters above CLUSTER texts (or CLUSTER_CHARS characters) are dealt
 as pairs of blocks to several tasks, so no task gets an unbounded group and every pair still meets.
 
@@ -31,55 +32,86 @@ and text are read.
 
 from __future__ import annotations
 
+from math import acos, ceil, log, log1p, pi, sqrt
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, released, slots, small, text_of, whole_groups, written
 from .components import components, roots_of
-from .simhash import BLOCK, _bit_rows, shingle_hashes
+from .simhash import shingle_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 38
-#: In short texts one shingle sways more bits.
-SHORT, SHORT_RADIUS = 30, 44
+#: The chance that texts just at the threshold share no posting.
+MISS = 1e-6
+#: Below so many shingles up to so many times as many bits differ.
+SHORT, SHORT_SWAY = 16, 1.24
+#: Words of 64 bits that postings carry, and the deviations by which they may differ more than expected.
+CARRIED, DEVIATIONS = 3, 5.5
+#: The greatest sum of bits that a byte holds.
+LANE = 255
 POSTING = 4096
-#: How often shingles of postings above POSTING are moved to the end of the order, at most so many at a time (what stays is dealt in blocks).
-DEMOTIONS, DEMOTED = 3, 200_000
+#: Postings up to this size are compared many at a time.
+SMALL_POSTING = 256
 CLUSTER, CLUSTER_CHARS = 1024, 32 << 20
 
 
-def prefix(ascending: np.ndarray, threshold: float = THRESHOLD, last: np.ndarray | None = None) -> np.ndarray:
-    """The first distinct shingles, one of which any text within the threshold has among its own first; those in `last` come last."""
-    n = len(ascending)
-    if last is not None and len(last):
-        at = np.searchsorted(last, ascending)
-        demoted = last[np.minimum(at, len(last) - 1)] == ascending
-        ascending = np.concatenate((ascending[~demoted], ascending[demoted]))
-    return ascending[: n - int(np.ceil(threshold * n - 1e-4)) + 1]
+def differing(threshold: float, short: bool) -> float:
+    """The share of the bits of two SimHashes that differ at the threshold: their angle, by half a turn."""
+    return acos(2 * threshold / (1 + threshold)) / pi * (SHORT_SWAY if short else 1)
+
+
+def choices(threshold: float, short: bool) -> int:
+    """How many choices of two positional bytes leave a chance of MISS that none is shared at the threshold."""
+    shared = (1 - differing(threshold, short)) ** 16
+    found = 1 if shared == 1 else ceil(log(MISS) / log1p(-shared))
+    if found >= 1 << 15:
+        raise ValueError(f"a threshold of {threshold} is too low for the index")
+    return found
 
 
-def _second(hashes: np.ndarray) -> np.ndarray:
-    """Another 64 bits of each hash, by SplitMix64's finish."""
+def radius_of(threshold: float, short: bool) -> int:
+    """The number of carried bits in which candidates may differ."""
+    bits, rate = 64 * CARRIED, differing(threshold, short)
+    return ceil(bits * rate + DEVIATIONS * sqrt(bits * rate * (1 - rate)))
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """SplitMix64's finish."""
     z = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
 
 
-def features(text: str, threshold: float = THRESHOLD, last: np.ndarray | None = None) -> tuple[int, int, int, np.ndarray]:
-    """(number of distinct shingles, two halves of the SimHash over them, the shingles of the prefix)."""
-    blocks = list(shingle_hashes(text, SHINGLE))
-    if not blocks:
-        return 0, 0, 0, np.zeros(1, np.uint64)
-    distinct = np.unique(np.concatenate(blocks))
-    sums = np.zeros((2, 64), np.int64)
-    for at in range(0, len(distinct), BLOCK):
-        some = distinct[at : at + BLOCK]
-        sums[0] += _bit_rows(some).sum(0, dtype=np.int64)
-        sums[1] += _bit_rows(_second(some)).sum(0, dtype=np.int64)
-    low, high = np.packbits(sums * 2 > len(distinct), axis=1, bitorder="little").view("<u8").ravel()
-    return len(distinct), int(low), int(high), prefix(distinct, threshold, last)
+def positional_bytes(distinct: np.ndarray, count: int) -> np.ndarray:
+    """The SimHash of distinct shingles in `count` positional bytes; fewer are the first of more.
+
+    In texts of up to LANE shingles weights by hash decide the bits that half the shingles have: always
+    0 would make short texts alike that have nothing in common.
+    """
+    salts = _mixed(np.arange(1, -(-count // 8) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    sums = np.zeros(64 * len(salts), np.int64)
+    for at in range(0, len(distinct), LANE):
+        some = _mixed(distinct[at : at + LANE, None] ^ salts).astype("<u8", copy=False)
+        bits = np.unpackbits(some.view(np.uint8), axis=1, bitorder="little")
+        sums += np.add.reduce(bits.view(np.uint64), axis=0).view(np.uint8)
+    ones = 2 * sums > len(distinct)
+    if len(distinct) <= LANE and len(even := np.flatnonzero(2 * sums == len(distinct))):
+        weights = (_mixed(distinct) >> np.uint64(48)).astype(np.int64) + 1
+        ones[even] = 2 * (weights @ bits[:, even]) > weights.sum()
+    return np.packbits(ones, bitorder="little")[:count]
+
+
+def features(text: str, threshold: float = THRESHOLD) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of distinct shingles, the carried words of the SimHash, the postings: values of two positional bytes each)."""
+    distinct = shingle_set(text)
+    if not len(distinct):
+        return 0, np.zeros(CARRIED, np.uint64), np.full(1, -1, np.int32)
+    n = choices(threshold, len(distinct) < SHORT)
+    found = positional_bytes(distinct, max(2 * n, 8 * CARRIED))
+    return len(distinct), found[: 8 * CARRIED].view("<u8"), found[: 2 * n].view("<u2").astype(np.int32) | np.arange(n, dtype=np.int32) << 16
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -140,24 +172,23 @@ def _thinned(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], roots[moved]
 
 
-def _radius(least: np.ndarray, radius: int) -> np.ndarray:
-    return np.where(least < SHORT, max(radius, SHORT_RADIUS), radius)
-
-
-def _near(sizes: np.ndarray, prints: np.ndarray, own: np.ndarray, radius: int, threshold: float, across: bool) -> tuple[np.ndarray, np.ndarray]:
+def _near(sizes: np.ndarray, prints: np.ndarray, own: np.ndarray, fit, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links of positions that connect what all candidate pairs do; across: only pairs of different blocks count.
 
-    prints has two rows of 64 bits. Sizes x <= y can reach the threshold only if x >= threshold * y.
+    prints has CARRIED rows of 64 bits; fit(sizes, sizes, differing bits) tells candidates.
     """
-    left = np.flatnonzero(own == own.min()) if across else np.arange(len(sizes))
-    right = np.flatnonzero(own != own.min()) if across else left
+    every = np.arange(len(sizes))
     i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if across:
+        left, right = every[own == own.min()], every[own != own.min()]
+    else:  # those near the first are linked by it, and need not be compared with each other
+        first = fit(sizes[0], sizes, np.bitwise_count(prints[:, :1] ^ prints).sum(0))
+        i, j = [np.zeros(first.sum(), np.int64)], [every[first]]
+        left, right = every[~first], every
     for at in range(0, len(left), 256):
         some = left[at : at + 256]
-        a, b = sizes[some, None], sizes[None, right]
-        near = np.minimum(a, b) >= threshold * np.maximum(a, b) * 0.999
         bits = sum(np.bitwise_count(p[some, None] ^ p[None, right]) for p in prints)
-        x, y = np.nonzero(near & (bits <= _radius(np.minimum(a, b), radius)))
+        x, y = np.nonzero(fit(sizes[some, None], sizes[None, right], bits))
         x, y = some[x], right[y]
         keep = x != y
         x, y = _thinned(x[keep], y[keep])
@@ -166,30 +197,40 @@ def _near(sizes: np.ndarray, prints: np.ndarray, own: np.ndarray, radius: int, t
     return _thinned(np.concatenate(i), np.concatenate(j))
 
 
-def candidate_links(rows: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) links between row numbers, from (row, size, low, high, segments)."""
-    postings = rows.select("row", "size", "low", "high", F.explode("segments").alias("segment"))
+def candidate_links(rows: DataFrame, threshold: float = THRESHOLD, radius: int | None = None) -> DataFrame:
+    """(a, b) links between row numbers, from (row, size, print0, print1, print2, segments); radius: bits instead of the threshold's."""
+    carried = [f"print{k}" for k in range(CARRIED)]
+    postings = rows.select("row", "size", *carried, F.explode("segments").alias("segment"))
     hot = written(postings.groupBy("segment").count().where(F.col("count") > POSTING), "hot-segments")
     hot = hot.select("segment", F.ceil(F.col("count") / POSTING).alias("blocks"))
     # At most one segment in POSTING rows is hot.
     dealt = postings.join(small(hot), "segment", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.select("segment", F.inline(_blocks(F.col("blocks"), F.xxhash64("row"))), "size", "low", "high", "row")
+    dealt = dealt.select("segment", F.inline(_blocks(F.col("blocks"), F.xxhash64("row"))), "size", *carried, "row")
+    usual, short = (radius_of(threshold, s) if radius is None else radius for s in (False, True))
+
+    def fit(a, b, bits):
+        """Sizes x <= y can reach the threshold only if x >= threshold * y; below some size (4, at 0.8) only equal sets do."""
+        least = np.minimum(a, b)
+        equal = least * (1 - threshold) < threshold - 1e-9
+        return (least >= threshold * np.maximum(a, b) * 0.999) & (bits <= np.where(equal, 0, np.where(least < SHORT, short, usual)))
 
     def run(frames):
         for batch, starts, ends in whole_groups(frames, 3):
-            x, y, own, sizes, low, high, numbers = (batch.column(k).to_numpy() for k in range(1, 8))
-            prints = np.stack((low, high)).view(np.uint64)
+            x, y, own, sizes, *prints, numbers = (batch.column(k).to_numpy() for k in range(1, 6 + CARRIED))
+            prints = np.stack(prints).view(np.uint64)
             found = []
             members = ends - starts
-            two = starts[members == 2]
-            if len(two):
-                bits = np.bitwise_count(prints[:, two] ^ prints[:, two + 1]).sum(0)
-                fits = np.minimum(sizes[two], sizes[two + 1]) >= threshold * np.maximum(sizes[two], sizes[two + 1]) * 0.999
-                near = two[(bits <= _radius(np.minimum(sizes[two], sizes[two + 1]), radius)) & fits]
-                near = near[(x[near] == y[near]) | (own[near] != own[near + 1])]
-                found.append((numbers[near], numbers[near + 1]))
-            for s, e in zip(starts[members > 2], ends[members > 2], strict=True):
-                i, j = _near(sizes[s:e], prints[:, s:e], own[s:e], radius, threshold, x[s] != y[s])
+            after = np.repeat(np.where(members <= SMALL_POSTING, ends, 0), members) - 1 - np.arange(len(numbers))
+            some, step = np.flatnonzero(after > 0), 1
+            while len(some):  # each member and the one `step` places on
+                other = some + step
+                bits = np.bitwise_count(prints[:, some] ^ prints[:, other]).sum(0)
+                near = fit(sizes[some], sizes[other], bits) & ((x[some] == y[some]) | (own[some] != own[other]))
+                found.append((numbers[some[near]], numbers[other[near]]))
+                step += 1
+                some = some[after[some] >= step]
+            for s, e in zip(starts[members > SMALL_POSTING], ends[members > SMALL_POSTING], strict=True):
+                i, j = _near(sizes[s:e], prints[:, s:e], own[s:e], fit, x[s] != y[s])
                 found.append((numbers[s:e][i], numbers[s:e][j]))
             yield _links_out(found)
 
@@ -221,42 +262,23 @@ def verified_links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return dealt.sortWithinPartitions("cluster", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _features(frame: DataFrame, kind: str, threshold: float, last: np.ndarray | None = None) -> DataFrame:
-    """(row, id, sha, size, low, high, segments) from (row, id, text, sha)."""
-    shared = frame.sparkSession.sparkContext.broadcast(last)
+def _features(frame: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """(row, id, sha, size, print0, print1, print2, segments) from (row, id, text, sha)."""
+    names = [f"print{k}" for k in range(CARRIED)]
 
     def run(frames):
         import pyarrow as pa
 
         released()
         for batch in frames:
-            found = [features(t, threshold, shared.value) for t in batch.column(2).to_pylist()]
-            halves = [pa.array(np.array([f[k] for f in found], np.uint64).view(np.int64)) for k in (1, 2)]
+            found = [features(t, threshold) for t in batch.column(2).to_pylist()]
+            prints = [pa.array(np.array([f[1][k] for f in found], np.uint64).view(np.int64)) for k in range(CARRIED)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array([f[0] for f in found], pa.int64()), *halves, pa.array([f[3].view(np.int64) for f in found], pa.list_(pa.int64()))],
-                ["row", "id", "sha", "size", "low", "high", "segments"],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array([f[0] for f in found], pa.int64()), *prints, pa.array([f[2] for f in found], pa.list_(pa.int32()))],
+                ["row", "id", "sha", "size", *names, "segments"],
             )
 
-    return frame.select("row", "id", "text", "sha").mapInArrow(run, f"row long, id {kind}, sha string, size long, low long, high long, segments array<long>")
-
-
-def settled(nodes: DataFrame, digest: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """nodes, with prefixes in an order that has the shingles of too many prefixes last; digest: (id, text, sha) of all texts."""
-    last = np.empty(0, np.int64)
-    for _ in range(DEMOTIONS):
-        postings = nodes.select("row", F.explode("segments").alias("segment"))
-        often = postings.groupBy("segment").count().where(F.col("count") > POSTING).orderBy(F.desc("count"), "segment").limit(DEMOTED).select("segment").toArrow()
-        new = np.setdiff1d(often.column(0).to_numpy(), last)  # at most DEMOTED numbers
-        if not len(new):
-            break
-        last = np.union1d(last, new)
-        hot = nodes.sparkSession.createDataFrame([(int(x),) for x in new], "segment long")
-        moved = written(postings.join(F.broadcast(hot), "segment", "left_semi").select("row").distinct(), "moved")  # at most DEMOTED rows
-        wanted = nodes.select("row", F.col("id").alias("own_id"), "sha").join(small(moved), "row")
-        texts = _texts(digest, written(wanted, "moved-keys"))
-        anew = _features(texts.dropDuplicates(["row"]), kind, threshold, np.sort(last.view(np.uint64)))
-        nodes = written(nodes.join(small(moved), "row", "left_anti").unionByName(anew), "features")
-    return nodes
+    return frame.select("row", "id", "text", "sha").mapInArrow(run, f"row long, id {kind}, sha string, size long, {', '.join(f'{n} long' for n in names)}, segments array<int>")
 
 
 def _texts(digest: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -265,7 +287,7 @@ def _texts(digest: DataFrame, wanted: DataFrame) -> DataFrame:
     return digest.join(small(wanted, 100_000), (F.col("sha") == F.col("own_sha")) & F.col("id").eqNullSafe(F.col("own_id"))).drop("own_id", "own_sha")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, radius: int | None = None) -> DataFrame:
     """(id, sha, row, group) of the rows that have a copy or near copy; group is the row number that stays."""
     lean(docs.sparkSession)
     digest = docs.select(F.col(id_col).alias("id"), text_of(text).alias("text")).withColumn("sha", F.sha2("text", 256))
@@ -279,8 +301,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshol
     spare = small(members.where("row <> node").select("row"))
     nodes = rows.join(spare, "row", "left_anti")
 
-    nodes = settled(nodes, digest, kind, threshold)
-    clusters = components(candidate_links(nodes, radius, threshold))
+    clusters = components(candidate_links(nodes, threshold, radius))
     chosen = written(nodes.select("row", "id", "sha").join(clusters.withColumnsRenamed({"node": "row", "root": "cluster"}), "row"), "candidates")
     wanted = chosen.select(F.col("id").alias("own_id"), "sha", "row", "cluster")
     texts = _texts(digest, wanted).select("cluster", "row", "text")

@@ -220,3 +220,29 @@ def test_what_everyone_has_is_no_reason_to_meet(docs, monkeypatch):
         assert kept == sorted(near_brute(list(enumerate(some)))) and len(kept) < n
     assert all(most <= 20 for _, most in dealt)
     assert dealt[1][0] < 2.6 * dealt[0][0]
+
+
+def test_near_copies_meet_by_the_tally_of_positional_bytes():
+    """Postings are values of two positional bytes of the SimHash; pairs just at the threshold share some, texts with one passage in common hardly any."""
+    from meterflow.llm import near_copies
+
+    rng = np.random.default_rng(6)
+    salts = near_copies._mixed(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for n in (1, 3, 41, 299, 701):
+        some = np.sort(rng.integers(0, 1 << 64, n, np.uint64))
+        bits = [[int(h) >> b & 1 for s in salts for h in [near_copies._mixed(x ^ s[None])[0]] for b in range(64)] for x in some]
+        want = np.packbits(2 * np.sum(bits, 0) > n, bitorder="little")
+        assert (near_copies.positional_bytes(some, 64) == want).all()
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    for n in (8, 13, 19, 24, 100, 400):
+        for _ in range(40):
+            first = [word() for _ in range(n)]
+            other = [*first, *(word() for _ in range(max(1, (n - 4) // 4)))]  # four of five shingles
+            passage = [*first[: n // 2], *(word() for _ in range(n - n // 2))]
+            (size, carried, a), (_, _, b), (_, _, c) = (near_copies.features(" ".join(x)) for x in (first, other, passage))
+            held = near_copies.positional_bytes(shingle_set(" ".join(first)), 2 * len(a))
+            assert len(a) == near_copies.choices(0.8, size < near_copies.SHORT)
+            assert [(int(p) >> 16, int(p) & 255, int(p) >> 8 & 255) for p in a] == [(k, held[2 * k], held[2 * k + 1]) for k in range(len(a))]
+            assert carried.tobytes() == held[:24].tobytes()
+            assert len(set(a.tolist()) & set(b.tolist())) > 0
+            assert len(set(a.tolist()) & set(c.tolist())) <= 8
