@@ -13,7 +13,8 @@
 3. Within a posting, texts whose first 192 bits differ in no more than 5.5 deviations above what
    similarity 0.8 gives (57 bits, 66 in short texts), and whose numbers of shingles could allow the
    similarity, are candidates; unrelated texts differ in some 96. Not the pairs leave the task but
-   links that connect what the pairs connect, so a large posting adds no more links than it has members.
+   links that connect what the pairs connect, so a posting of any size adds fewer links than it has
+   members. Two blocks of a posting add only what joins the members that each block links by itself.
 4. Components of the candidates are small clusters; in them every pair is verified by the exact
    similarity, counted over the texts that hold each shingle, and again connecting links leave.
 5. Components of the verified links are the groups. The row with the smallest id stays (rows with
@@ -150,16 +151,23 @@ def _blocks(count: Column, of: Column) -> Column:
 
 
 def _cross(own: np.ndarray, x: int, y: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In a group of two blocks only pairs across them count; pairs within a block meet in its own group."""
-    across = own[i] != own[j] if x != y else np.ones(len(i), bool)
-    return i[across], j[across]
+    """In a group of two blocks only pairs across them count, as pairs of what each block's own group connects."""
+    if x == y:
+        return i, j
+    across = own[i] != own[j]
+    home = np.arange(len(own))
+    nodes, roots = roots_of(i[~across], j[~across])
+    home[nodes] = roots
+    return home[i[across]], home[j[across]]
 
 
 def _links_out(found: list):
+    """Links that connect what those found do, at most one for each row but the first of a component."""
     import pyarrow as pa
 
     a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
     b = np.concatenate([y for _, y in found]) if found else np.empty(0, np.int64)
+    a, b = _thinned(a, b)
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
@@ -175,25 +183,38 @@ def _thinned(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _near(sizes: np.ndarray, prints: np.ndarray, own: np.ndarray, fit, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links of positions that connect what all candidate pairs do; across: only pairs of different blocks count.
 
-    prints has CARRIED rows of 64 bits; fit(sizes, sizes, differing bits) tells candidates.
+    prints has CARRIED rows of 64 bits; fit(sizes, sizes, differing bits) tells candidates. Members of a
+    block that are near its first are linked to it by the block's own group: across, the first stands for them.
     """
     every = np.arange(len(sizes))
+    home = every.copy()
+    near = lambda k: fit(sizes[k], sizes, np.bitwise_count(prints[:, k : k + 1] ^ prints).sum(0))
     i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     if across:
         left, right = every[own == own.min()], every[own != own.min()]
+        if not len(right):
+            return i[0], j[0]
+        of_left, of_right = near(left[0]), near(right[0])
+        home[left[of_left[left]]], home[right[of_right[right]]] = left[0], right[0]
+        if (of_left & (home == right[0])).any() or (of_right & (home == left[0])).any():  # both firsts' members are one
+            i, j = [left[:1]], [right[:1]]
+            compared = [(left[~of_left[left]], right), (left[of_left[left]], right[~of_right[right]])]
+        else:
+            compared = [(left, right)]
     else:  # those near the first are linked by it, and need not be compared with each other
-        first = fit(sizes[0], sizes, np.bitwise_count(prints[:, :1] ^ prints).sum(0))
+        first = near(0)
         i, j = [np.zeros(first.sum(), np.int64)], [every[first]]
-        left, right = every[~first], every
-    for at in range(0, len(left), 256):
-        some = left[at : at + 256]
-        bits = sum(np.bitwise_count(p[some, None] ^ p[None, right]) for p in prints)
-        x, y = np.nonzero(fit(sizes[some, None], sizes[None, right], bits))
-        x, y = some[x], right[y]
-        keep = x != y
-        x, y = _thinned(x[keep], y[keep])
-        i.append(x)
-        j.append(y)
+        compared = [(every[~first], every)]
+    for left, right in compared:
+        for at in range(0, len(left), 256):
+            some = left[at : at + 256]
+            bits = sum(np.bitwise_count(p[some, None] ^ p[None, right]) for p in prints)
+            x, y = np.nonzero(fit(sizes[some, None], sizes[None, right], bits))
+            x, y = some[x], right[y]
+            keep = x != y
+            x, y = _thinned(home[x[keep]], home[y[keep]])
+            i.append(x)
+            j.append(y)
     return _thinned(np.concatenate(i), np.concatenate(j))
 
 
@@ -254,7 +275,6 @@ def verified_links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 if e - s > 1:
                     sets = [shingle_set(t) for t in batch.column(5).slice(s, e - s).to_pylist()]
                     i, j = _cross(own[s:e], x[s], y[s], *similar_pairs(sets, threshold))
-                    i, j = _thinned(i, j)
                     found.append((numbers[s:e][i], numbers[s:e][j]))
             yield _links_out(found)
 

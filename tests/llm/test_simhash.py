@@ -246,3 +246,56 @@ def test_near_copies_meet_by_the_tally_of_positional_bytes():
             assert carried.tobytes() == held[:24].tobytes()
             assert len(set(a.tolist()) & set(b.tolist())) > 0
             assert len(set(a.tolist()) & set(c.tolist())) <= 8
+
+
+def crowd(rng, near, spread):
+    """(sizes, prints) of texts in two rough groups, chains, and unrelated ones."""
+    centres = rng.integers(0, 1 << 64, (3, 2), np.uint64)
+    flips = lambda n, share: np.packbits(rng.random((3, n, 64)) < share, axis=2).view(np.uint64)[..., 0]
+    some = centres[:, rng.integers(0, 2, near)] ^ flips(near, spread)
+    return rng.choice([40, 44, 300], near + 20), np.concatenate([some, rng.integers(0, 1 << 64, (3, 20), np.uint64)], axis=1)
+
+
+def test_a_posting_adds_fewer_links_than_members(spark, monkeypatch):
+    """Near copies in one posting, of one block or many: links grow with the members, not with their pairs, and connect them all."""
+    from meterflow.llm import near_copies
+
+    def links(n):
+        rows = spark.createDataFrame([(i, 50, 7, 7, i % 8, [5]) for i in range(n)], "row long, size long, print0 long, print1 long, print2 long, segments array<int>")
+        found = near_copies.candidate_links(rows).collect()
+        nodes, roots = roots_of(np.array([r.a for r in found]), np.array([r.b for r in found]))
+        assert nodes.tolist() == list(range(n)) and not roots.any()
+        return len(found)
+
+    assert [links(n) for n in (2, 100, 200)] == [1, 99, 199]
+    monkeypatch.setattr(near_copies, "POSTING", 50)
+    monkeypatch.setattr(near_copies, "SMALL_POSTING", 16)
+    assert links(400) <= 399 + 8 * 7 / 2  # and one for each two blocks
+
+
+def test_blocks_connect_what_their_pairs_connect():
+    """_near and _cross over three blocks against all pairs, with members that the first of a block does not reach."""
+    from meterflow.llm import near_copies
+
+    radius, parts = near_copies.radius_of(0.8, False), lambda pairs: sorted(map(sorted, partition(range(m), pairs).values()))
+    fit = lambda a, b, bits: (np.minimum(a, b) >= 0.8 * np.maximum(a, b)) & (bits <= radius)
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        sizes, prints = crowd(rng, 100, (0.05, 0.12, 0.17, 0.21)[seed % 4])
+        m, block = len(sizes), rng.integers(0, 3, len(sizes))
+        bits = np.bitwise_count(prints[:, :, None] ^ prints[:, None]).sum(0)
+        i, j = np.nonzero(np.triu(fit(sizes[:, None], sizes[None], bits), 1))
+        want = parts(zip(i.tolist(), j.tolist(), strict=True))
+        assert 22 <= len(want) < m
+        by_near, by_cross = [], []
+        for x, y in [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]:
+            some = np.flatnonzero((block == x) | (block == y))
+            a, b = near_copies._near(sizes[some], prints[:, some], block[some], fit, x != y)
+            assert len(a) < len(some)
+            by_near += zip(some[a].tolist(), some[b].tolist(), strict=True)
+            a, b = np.nonzero(np.triu(fit(sizes[some, None], sizes[None, some], bits[np.ix_(some, some)]), 1))
+            a, b = near_copies._thinned(*near_copies._cross(block[some], x, y, a, b))
+            by_cross += zip(some[a].tolist(), some[b].tolist(), strict=True)
+        assert parts(by_near) == want == parts(by_cross)
+    lone = near_copies._near(sizes, prints, np.zeros(m), fit, True)
+    assert not len(lone[0])  # the other block has no member
